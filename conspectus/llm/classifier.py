@@ -23,21 +23,47 @@ MAX_TRAIN = 8192
 EPOCHS = 3
 
 
-def features(raw: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(feature indices, index bounds per text): distinct hashed unigrams and bigrams of words and runs of marks."""
-    starts, _, h = tokenise(raw, bounds, WORDS_AND_MARKS)
-    at = per_text(starts, bounds)
-    text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
-    pair = mix(h[:-1] * np.uint64(0xD1342543DE82EF95) + h[1:])[text_of[:-1] == text_of[1:]] if len(h) > 1 else h[:0]
-    owner = text_of[:-1][text_of[:-1] == text_of[1:]] if len(h) > 1 else text_of[:0]
-    shift = np.uint64(64 - bits)
-    key = np.r_[(text_of.astype(np.int64) << bits) | (h >> shift).astype(np.int64), (owner.astype(np.int64) << bits) | (pair >> shift).astype(np.int64)]
-    key = np.unique(key)
-    return (key & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(key >> bits, np.arange(len(bounds)), "left")
+_CASE = np.zeros(256, np.uint8)  # 1 upper, 2 digit
+_CASE[65:91] = 1
+_CASE[48:58] = 2
+
 
+def features(raw: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature indices, their values, index bounds per text).
 
-def train(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.2) -> np.ndarray:
-    """FTRL-proximal weights; the last entry is the bias. Each text's features have the value 1/sqrt(their number)."""
+    Hashed unigrams and bigrams of words and runs of marks, and unigrams to trigrams of their shapes: case, digit
+    or mark, and whether the token repeats the one before it. Values are sqrt(count / grams of the text), so each
+    text has norm 1.
+    """
+    starts, ends, h = tokenise(raw, bounds, WORDS_AND_MARKS)
+    if not len(h):
+        return np.zeros(0, np.int32), np.zeros(0), np.zeros(len(bounds), np.int64)
+    at = per_text(starts, bounds)
+    text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
+    mark = WORDS_AND_MARKS[raw[starts]] == 2
+    shape = _CASE[raw[starts]].astype(np.uint64) * np.uint64(4) + _CASE[raw[ends - 1]]
+    shape = np.where(mark, h, mix(shape + np.uint64(77)))
+    same = np.r_[False, (h[1:] == h[:-1]) & (text_of[1:] == text_of[:-1])]
+    shape = mix(shape + same.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(5))
+    grams, owners = [h, shape], [text_of, text_of]
+    step, inside = np.uint64(0xD1342543DE82EF95), text_of[:-1] == text_of[1:]
+    for base in (h, shape):
+        pair = mix(base[:-1] * step + base[1:])
+        grams.append(pair[inside])
+        owners.append(text_of[:-1][inside])
+    three = inside[:-1] & inside[1:]
+    if len(h) > 2:
+        grams.append(mix(pair[:-1] * step + shape[2:])[three])
+        owners.append(text_of[:-2][three])
+    key = np.concatenate([(o.astype(np.int64) << bits) | (g >> np.uint64(64 - bits)).astype(np.int64) for g, o in zip(grams, owners, strict=True)])
+    key, count = np.unique(key, return_counts=True)
+    at = np.searchsorted(key >> bits, np.arange(len(bounds)), "left")
+    total = np.r_[0, np.cumsum(count)]
+    return (key & ((1 << bits) - 1)).astype(np.int32), np.sqrt(count / np.repeat(total[at[1:]] - total[at[:-1]], np.diff(at))), at
+
+
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.2) -> np.ndarray:
+    """FTRL-proximal weights; of examples (indices, values, label); the last entry is the bias."""
     dim = 1 << bits
     z, n = np.zeros(dim + 1), np.zeros(dim + 1)
 
@@ -46,10 +72,8 @@ def train(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
 
     for _ in range(epochs):
-        for idx, label in examples:
-            at = np.r_[idx, dim]
-            x = np.full(len(at), 1.0 / np.sqrt(max(1, len(idx))))
-            x[-1] = 0.1
+        for idx, values, label in examples:
+            at, x = np.r_[idx, dim], np.r_[values, 0.1]
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - label) * x
@@ -79,13 +103,14 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     def hashed(batches):
         for batch in batches:
             raw, bounds = string_bytes(batch.column(3))
-            idx, at = features(raw, bounds, bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([idx[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], names=["o", "y", "f"])
+            idx, values, at = features(raw, bounds, bits)
+            parts = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary()) for x in (idx, values.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts], names=["o", "y", "f", "v"])
 
-    got = sorted((r["o"], r["y"], bytes(r["f"])) for r in rows.mapInArrow(hashed, "o long, y int, f binary").collect())
+    got = sorted((r["o"], r["y"], bytes(r["f"]), bytes(r["v"])) for r in rows.mapInArrow(hashed, "o long, y int, f binary, v binary").collect())
     if not got:
         return np.zeros((1 << bits) + 1, np.float32)
-    return train([(np.frombuffer(f, np.int32), min(1, max(0, y))) for _, y, f in got], bits, epochs)
+    return train([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), min(1, max(0, y))) for _, y, f, v in got], bits, epochs)
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), score_col: str = "score", bits: int = BITS) -> DataFrame:
@@ -101,9 +126,9 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: tupl
         for batch in batches:
             raw, bounds = string_bytes(batch.column(len(keep)))
             for a, b in slices(bounds):
-                idx, at = features(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], bits)
-                total = np.r_[0.0, np.cumsum(w[idx].astype(np.float64))]
-                x = (total[at[1:]] - total[at[:-1]]) / np.sqrt(np.maximum(1, np.diff(at))) + 0.1 * float(w[-1])
+                idx, values, at = features(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], bits)
+                total = np.r_[0.0, np.cumsum(w[idx] * values)]
+                x = total[at[1:]] - total[at[:-1]] + 0.1 * float(w[-1])
                 p = 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(np.round(p, 9))], names=[*keep, score_col])
 
