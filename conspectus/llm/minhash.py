@@ -8,8 +8,9 @@ texts agree in a coordinate with the probability of their weighted Jaccard simil
 
 Bands of ``rows`` coordinates are sorted as keys over the whole cluster (range partitions, so a key held by a
 third of all rows spreads over many tasks). Of each run of equal keys the member that agrees most with the run is
-its centre; members are paired with their centre, with ``spread`` members evenly spread over the run and with their
-``near`` predecessors, which is linear in the run's size; the other bands deal out other members. Every pair is checked exactly on shingle multisets, and classes are the connected components of the
+its centre, with which its members are paired. Members of crowded runs that this leaves apart are paired, under
+these and finer keys, with the centre, with ``spread`` members evenly spread over the run and with their ``near``
+predecessors. Both are linear in the run's size. Every pair is checked exactly on shingle multisets, and classes are the connected components of the
 links of at least ``threshold``. Exact copies are one node from the start.
 
 Defined results: null and empty texts are one class; a text under five words is one shingle of all its words;
@@ -126,23 +127,23 @@ def signatures(df: DataFrame, text_col: str, keep: tuple[str, ...], k: int = K,
 
 
 def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, sure: float = SURE, piece: int = 100_000) -> DataFrame:
-    """Distinct pairs (a, b) of node numbers from nodes (node, bands, sketch, copies).
+    """Distinct pairs (a, b) of node numbers from nodes (node, bands, sketch, copies, root), the roots unlike.
 
     Each band key is sorted with the three keys that follow it in the text's ring of bands, so texts that share
     more stand nearer. Of a run of over ``piece`` rows each piece has a centre, and neighbouring centres are paired;
-    a run that two partitions share is joined by the other bands. Pairs (a, a) mark members of runs of over
-    ``spread`` rows, where not all have been paired.
+    a run that two partitions share is joined by the other bands. Pairs (a, a) mark members of runs in
+    which not all have been paired.
     """
     ring = F.concat("bands", F.slice("bands", 1, 3))
-    rows = nodes.where("bands is not null").select("node", "copies", "sketch", F.explode(F.transform("bands", lambda _, i: F.slice(ring, i + 1, 4))).alias("keys"))
-    rows = rows.select(F.col("keys")[0].alias("key"), F.col("keys")[1].alias("k1"), F.col("keys")[2].alias("k2"), F.col("keys")[3].alias("k3"), "copies", "node", "sketch")
+    rows = nodes.where("bands is not null").select("node", "copies", "sketch", "root", F.explode(F.transform("bands", lambda _, i: F.slice(ring, i + 1, 4))).alias("keys"))
+    rows = rows.select(F.col("keys")[0].alias("key"), F.col("keys")[1].alias("k1"), F.col("keys")[2].alias("k2"), F.col("keys")[3].alias("k3"), "copies", "node", "root", "sketch")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "key", "k1", "k2", "k3", "node").sortWithinPartitions("key", "k1", "k2", "k3", "node")
 
     def paired(table, tail, last_centre):
-        key, k1, k2, k3, copies, node = (table.column(i).to_numpy() for i in range(6))
+        key, k1, k2, k3, copies, node, root = (table.column(i).to_numpy() for i in range(7))
         n = len(key)
-        sketch = np.frombuffer(string_bytes(table.column(6).combine_chunks())[0], np.uint8).reshape(n, -1)
+        sketch = np.frombuffer(string_bytes(table.column(7).combine_chunks())[0], np.uint8).reshape(n, -1)
         run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
         score = np.zeros(n)
         for ki in (k1, k2, k3):  # how many of the run agree in the keys that follow
@@ -155,7 +156,7 @@ def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, su
         m = 0
         if tail is not None:
             m = len(tail[0])
-            key, node, sketch = np.r_[tail[0], key], np.r_[tail[1], node], np.r_[tail[2], sketch]
+            key, node, sketch, root = np.r_[tail[0], key], np.r_[tail[1], node], np.r_[tail[2], sketch], np.r_[tail[3], root]
         left, right = [np.arange(m, m + n)], [m + centre[run]]
         length = np.bincount(run)
         begin = np.cumsum(length) - length
@@ -167,18 +168,18 @@ def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, su
             left.append(same + step)
             right.append(same)
         left, right = np.concatenate(left), np.concatenate(right)
-        two = left != right
+        two = root[left] != root[right]
         left, right = left[two], right[two]
         agree = np.concatenate([(sketch[left[i : i + 65536]] == sketch[right[i : i + 65536]]).mean(1) for i in range(0, len(left), 65536)] or [np.zeros(0)])
         left, right = left[agree >= sure], right[agree >= sure]
         found = np.stack([node[left], node[right]], 1)
-        if last_centre is not None and last_centre[0] == key[m]:
+        if last_centre is not None and last_centre[0] == key[m] and last_centre[2] != root[m + centre[0]]:
             found = np.concatenate([found, [[last_centre[1], node[m + centre[0]]]]])
         found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], 1), axis=0)
-        crowd = np.unique(node[m:][length[run] > spread])
+        crowd = np.unique(node[m:][length[run] > max(2, spread)])
         found = np.concatenate([found, np.stack([crowd, crowd], 1)])
-        tail = (key[-near:], node[-near:], sketch[-near:])
-        return found, tail, (key[-1], node[m + centre[-1]])
+        tail = (key[-near:], node[-near:], sketch[-near:], root[-near:])
+        return found, tail, (key[-1], node[m + centre[-1]], root[m + centre[-1]])
 
     def pairs(batches):
         tail = last_centre = None
@@ -200,17 +201,17 @@ def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, su
     return ordered.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def finer(nodes: DataFrame, crowd: DataFrame, steps: tuple[int, ...] = (1, 3)) -> DataFrame:
-    """The nodes of ``crowd``, with keys made of two bands each in place of bands.
+def with_finer(nodes: DataFrame, steps: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """Nodes with keys made of two bands each besides their bands.
 
-    Texts of a similarity of 0.8 still share about seven of these forty keys, while the looser members of a crowded
-    run part, so that those left in a run are near enough for its centre.
+    Texts of a similarity of 0.8 share about seven of these forty keys, while the looser members of a crowded run
+    part, so that those left in a run are near enough for its centre.
     """
+
     def two(step):
         return F.transform("bands", lambda x, i: F.xxhash64(F.lit(step), x, F.get("bands", F.pmod(i + step, F.size("bands")))))
 
-    keys = F.concat(*[two(step) for step in steps])
-    return nodes.join(crowd, "node", "left_semi").withColumn("bands", keys)
+    return nodes.withColumn("bands", F.concat("bands", *[two(step) for step in steps]))
 
 
 def checked_links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, salt: int = 16) -> DataFrame:
@@ -289,14 +290,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("node"), text.alias("__text"))
     made = written(signatures(base, "__text", ("__id", "node"), k, rows, size), "signatures")
     nodes = made.groupBy("node").agg(F.min("__id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    loose = written(candidate_pairs(nodes), "pairs")
-    tight = candidate_pairs(finer(nodes, loose.where("a = b").select(F.col("a").alias("node"))))
-    pairs = written(loose.union(tight).where("a <> b").distinct(), "pairs")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    owners = made.groupBy("node").agg(F.min("__id").alias("least")).join(used, "node", "left_semi")
-    same = base["__id"].eqNullSafe(owners["least"]) & (base["node"] == owners["node"])
-    texts = base.join(owners, same, "left_semi").select("node", F.col("__text").alias("text"))
-    links = written(checked_links(pairs, texts, threshold, size), "links")
+    nodes = nodes.withColumn("root", F.col("node"))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        owners = made.groupBy("node").agg(F.min("__id").alias("least")).join(used, "node", "left_semi")
+        same = base["__id"].eqNullSafe(owners["least"]) & (base["node"] == owners["node"])
+        texts = base.join(owners, same, "left_semi").select("node", F.col("__text").alias("text"))
+        return written(checked_links(pairs, texts, threshold, size), "links")
+
+    # first each run's star; then, where runs are crowded, more pairs of what is still apart
+    star = written(candidate_pairs(nodes, near=1, spread=0), "pairs")
+    links = links_of(star.where("a <> b"))
+    roots = components(links)
+    crowd = nodes.drop("root").join(star.where("a = b").select(F.col("a").alias("node")), "node", "left_semi")
+    crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = written(candidate_pairs(with_finer(crowd)).where("a <> b"), "pairs")
+    links = links_of(more).select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = made.groupBy("node").agg(F.min("__id").alias("least")).join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # nulls rank last: a class has a null id only if all its ids are null
     named = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "node")).alias("first"))
