@@ -10,7 +10,8 @@ Bands of ``rows`` coordinates are sorted as keys over the whole cluster (range p
 third of all rows spreads over many tasks). Of each run of equal keys the member that agrees most with the run is
 its centre, with which its members are paired. Members of crowded runs that this leaves apart are paired, under
 these and finer keys, with the centre, with ``spread`` members evenly spread over the run and with their ``near``
-predecessors. Both are linear in the run's size. Every pair is checked exactly on shingle multisets, and classes are the connected components of the
+predecessors; of those compared by sketch, a member's likeliest partner under each key becomes a pair. All this
+is linear in the run's size. Every pair is checked exactly on shingle multisets, and classes are the connected components of the
 links of at least ``threshold``. Exact copies are one node from the start.
 
 Defined results: null and empty texts are one class; a text under five words is one shingle of all its words;
@@ -33,7 +34,7 @@ ROWS = 4
 SHINGLE = 5
 THRESHOLD = 0.8
 NEAR = 4
-SPREAD = 5  # members evenly spread over a run with which all others are paired, besides its centre
+SPREAD = 8  # members evenly spread over a run with which all others are paired, besides its centre
 SURE = 0.6  # pairs whose signatures' 8-bit sketches agree less are not near 0.8: over four deviations away
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -171,7 +172,10 @@ def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, su
         two = root[left] != root[right]
         left, right = left[two], right[two]
         agree = np.concatenate([(sketch[left[i : i + 65536]] == sketch[right[i : i + 65536]]).mean(1) for i in range(0, len(left), 65536)] or [np.zeros(0)])
-        left, right = left[agree >= sure], right[agree >= sure]
+        left, right, agree = left[agree >= sure], right[agree >= sure], agree[agree >= sure]
+        best = np.lexsort((-agree, left))  # each member's likeliest partner of those compared under this key
+        best = best[np.r_[True, left[best][1:] != left[best][:-1]]] if len(best) else best
+        left, right = left[best], right[best]
         found = np.stack([node[left], node[right]], 1)
         if last_centre is not None and last_centre[0] == key[m] and last_centre[2] != root[m + centre[0]]:
             found = np.concatenate([found, [[last_centre[1], node[m + centre[0]]]]])
