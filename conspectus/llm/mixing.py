@@ -24,7 +24,7 @@ from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
-CELL_ROWS = 50_000
+CELL_ROWS = 4_000
 
 
 def targets(totals: DataFrame, most: int = MOST, weights: int = 3) -> DataFrame:
