@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import texts, trees, vectors
 
-
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+QUERIES = {**vectors.QUERIES, **texts.QUERIES, **trees.QUERIES}
+ORACLE_SQL = {**vectors.ORACLE_SQL, **texts.ORACLE_SQL, **trees.ORACLE_SQL}
+FLAGSHIP = vectors.project_topk

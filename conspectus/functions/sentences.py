@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations that do not end a sentence.
 NEVER_FINAL = frozenset(
@@ -47,7 +48,7 @@ def split_sentences(text: str | None, min_chars: int = 2) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentences(text: pd.Series) -> pd.Series:
     return text.map(split_sentences)
 
@@ -71,7 +72,7 @@ def sanitise(text: str | None, collapse: bool = True) -> str | None:
     return " ".join(joined.split()) if collapse else joined
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitised(text: pd.Series) -> pd.Series:
     return text.map(sanitise)
 
@@ -100,7 +101,7 @@ def hash_vector(text: str | None, dim: int = 256, gram: int = 4, salt: str = "co
 def hashing_embedder(dim: int = 256, gram: int = 4, salt: str = "conspectus/v1"):
     """A column function: text to array<double>."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(text: pd.Series) -> pd.Series:
         return text.map(lambda s: hash_vector(s, dim, gram, salt).tolist())
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Exact titles by class.
 EXACT = {
@@ -32,7 +33,7 @@ ORDINAL = r"^(?:\(?\d+(?:\.\d+)*\)?[.):]?\s+|\(?(?:[ivxlcdm]+|[a-z])\)?[.):]\s+)
 UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "Ä": "ae", "Ö": "oe", "Ü": "ue"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_accents(text: pd.Series) -> pd.Series:
     """NFKD with combining marks removed."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))

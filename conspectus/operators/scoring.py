@@ -26,18 +26,18 @@ def match_metrics(matches: DataFrame, labels: DataFrame) -> DataFrame:
 
     matches is (candidate, block, label), one row a match; labels is (label, n), the blocks of each label.
     """
-    total = labels.agg(F.sum("n").alias("N"), F.count("*").alias("L"))
-    h = labels.crossJoin(total).agg(F.sum(entropy_terms(F.col("n"), F.col("N"))).alias("H"))  # one row each
+    total = labels.agg(F.sum("n").alias("blocks"))
+    h = labels.crossJoin(total).agg(F.sum(entropy_terms(F.col("n"), F.col("blocks"))).alias("H"))  # one row each
     per = matches.groupBy("candidate", "label").agg(F.count("*").alias("hit"))
     candidates = matches.select("candidate").distinct()
     grid = candidates.join(F.broadcast(labels), how="cross").join(per, ["candidate", "label"], "left").fillna(0, ["hit"])
     w = Window.partitionBy("candidate")
-    grid = grid.withColumn("hits", F.sum("hit").over(w)).withColumn("N", F.sum("n").over(w))
+    grid = grid.withColumn("hits", F.sum("hit").over(w)).withColumn("blocks", F.sum("n").over(w))
     inside = F.sum(F.when(F.col("hits") > 0, entropy_terms(F.col("hit"), F.col("hits"))).otherwise(0.0))
-    rest = F.col("N") - F.col("hits")
+    rest = F.col("blocks") - F.col("hits")
     outside = F.sum(F.when(rest > 0, entropy_terms(F.col("n") - F.col("hit"), rest)).otherwise(0.0))
-    agg = grid.groupBy("candidate").agg(F.first("hits").alias("hits"), F.first("N").alias("N"), F.max("hit").alias("top"), inside.alias("hi"), outside.alias("ho")).crossJoin(h)
-    share = F.col("hits") / F.col("N")
+    agg = grid.groupBy("candidate").agg(F.first("hits").alias("hits"), F.first("blocks").alias("blocks"), F.max("hit").alias("top"), inside.alias("hi"), outside.alias("ho")).crossJoin(h)
+    share = F.col("hits") / F.col("blocks")
     conditional = share * F.col("hi") + (1 - share) * F.col("ho")
     gain = F.when(F.col("H") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("H") - conditional) / F.col("H")))).otherwise(NEUTRAL)
     return agg.select("candidate", F.col("hits").alias("matches"), F.round(coverage_curve(share), 6).alias("coverage"), F.round(F.when(F.col("hits") > 0, 1 - F.col("top") / F.col("hits")).otherwise(0.0), 6).alias("purity"), F.round(gain, 6).alias("information_gain"))
