@@ -98,7 +98,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
 
 
 def fit(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from ``training_rows``: features are made by the executors, the bounded rest is fitted here."""
+    """Weights from ``training_rows``: features are made in parallel and fitted by one task, as their rows are bounded."""
 
     def hashed(batches):
         for batch in batches:
@@ -107,10 +107,14 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
             parts = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary()) for x in (idx, values.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts], names=["o", "y", "f", "v"])
 
-    got = sorted((r["o"], r["y"], bytes(r["f"]), bytes(r["v"])) for r in rows.mapInArrow(hashed, "o long, y int, f binary, v binary").collect())
-    if not got:
-        return np.zeros((1 << bits) + 1, np.float32)
-    return train([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), min(1, max(0, y))) for _, y, f, v in got], bits, epochs)
+    def fitted(batches):
+        got = [(o, y, f, v) for batch in batches for o, y, f, v in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+        got.sort(key=lambda r: r[:3])
+        weights = train([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), min(1, max(0, y))) for _, y, f, v in got], bits, epochs)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["w"])
+
+    made = rows.mapInArrow(hashed, "o long, y int, f binary, v binary").repartition(1).mapInArrow(fitted, "w binary").collect()
+    return np.frombuffer(bytes(made[0]["w"]), np.float32) if made else np.zeros((1 << bits) + 1, np.float32)
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), score_col: str = "score", bits: int = BITS) -> DataFrame:
