@@ -320,10 +320,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that represent their class, whole; a row repeated with id and text stays once."""
-    node, = free_names(df, "__node")
-    found = near_duplicates(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__own"), F.col("node").alias(node)).distinct()
+    node, own, own_node = free_names(df, "__node", "__own", "__own_node")
+    found = near_duplicates(df.select(id_col, text_col), id_col, text_col).where("kept").select(F.col(id_col).alias(own), F.col("node").alias(own_node)).distinct()
     rows = df.withColumn(node, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = (rows[node] == found[node]) & rows[id_col].eqNullSafe(found["__own"])
+    same = (F.col(node) == F.col(own_node)) & F.col(id_col).eqNullSafe(F.col(own))
     return rows.join(found, same, "left_semi").dropDuplicates([id_col, node]).drop(node)
 
 
