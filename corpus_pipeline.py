@@ -39,11 +39,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows of equal id, source and size share their copies, rounded up."""
-    size, copies = free_names(docs, "__size", "__copies")
-    taken = mixed(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__n")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    size, copies, own, of, n = free_names(docs, "__size", "__copies", "__own", "__of", "__n")
+    shared = F.ceil(F.sum("copies") / F.count("*")).cast("int").alias(copies)
+    taken = mixed(docs).groupBy(F.col("doc_id").alias(own), F.col("source").alias(of), F.col("size").alias(n)).agg(shared).where(F.col(copies) > 0)
     sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = sized["doc_id"].eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__of"]) & (sized[size] == taken["__n"])
-    return sized.join(taken.hint("shuffle_hash"), same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(of)) & (F.col(size) == F.col(n))
+    met = sized.join(taken.hint("shuffle_hash"), same)
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(size)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
