@@ -32,6 +32,13 @@ FLOAT_REFERENCE = r"(?i)\b(?:figure|fig\.?|table|tab\.?|equation|eq\.?|section|s
 NUMBERING = r"^\s*(?:\d+(?:\.\d+)*|[IVXLCivxlc]+|[A-Za-z])[.)]?\s+"
 EDGE_MARKS = " \t\n\r.,;:!?()[]{}\"'`-–—/\\"
 LABEL_WORDS = (30, 42)
+# Constructions that tell of the document instead of its content, in order, and subjects that do.
+BANNED = (
+    "this section|the section|this chapter|the chapter|this paper|the paper|this article|the article|this work|the present work|the authors|"
+    "we describe|we present|we propose|we introduce|we show|here we|is described|is presented|is discussed|is introduced|outlines|discusses|"
+    "describes|presents|introduces|explains|summarises|summarizes|reviews|this study|the study|the current work|the following section"
+).split("|")
+DOCUMENT_SUBJECT = r"(?i)\b(?:this|the|our|these|present|current)\s+(?:sub)?(?:section|chapter|paper|article|work|study|report|manuscript|document|thesis)\b"
 STRUCTURAL_WEIGHTS = {"glossary": 1.0, "heading": 1.0, "definition": 1.0, "theorem": 1.0, "bibliography": 0.7, "nounphrase": 0.5, "equation": 0.4, "ner": 0.3}
 OTHER_WEIGHT = 0.3
 
@@ -92,8 +99,26 @@ def structural_weight(source: Column) -> Column:
     return out
 
 
-def label_problems(text: Column, words: tuple[int, int] = LABEL_WORDS) -> Column:
-    """Array of problem codes of a label: empty, below, above, acronym, copula, citation, float."""
+def banned_constructions(text: Column) -> Column:
+    """Banned phrases in the order of their list, then subjects that name the document and overlap none of these."""
+    whole = F.coalesce(text, F.lit(""))
+    listed = F.array_compact(F.array(*[F.when(whole.rlike(r"(?i)\b" + phrase.replace(" ", r"\s+") + r"\b"), phrase) for phrase in BANNED]))
+    subjects = F.array_distinct(F.transform(F.regexp_extract_all(whole, F.lit(DOCUMENT_SUBJECT), F.lit(0)), lambda s: squeezed(F.lower(s))))
+    new = F.filter(subjects, lambda s: ~F.exists(listed, lambda b: F.contains(b, s) | F.contains(s, b)))
+    return F.concat(listed, F.transform(new, lambda s: F.concat(F.lit("document subject '"), s, F.lit("'"))))
+
+
+def tier_problems(label: Column, abstraction: Column, summary: Column, words: tuple[int, int] = LABEL_WORDS) -> Column:
+    """struct(label, abstraction, summary) of problem codes; a tier that is null or empty is absent, a blank one empty."""
+
+    def tier(text: Column, problems: Column) -> Column:
+        return F.when(text.isNull() | (text == ""), F.array(F.lit("absent"))).when(squeezed(text) == "", F.array(F.lit("empty"))).otherwise(problems)
+
+    return F.struct(tier(label, label_problems(label, words, banned=True)).alias("label"), tier(abstraction, banned_constructions(abstraction)).alias("abstraction"), tier(summary, banned_constructions(summary)).alias("summary"))
+
+
+def label_problems(text: Column, words: tuple[int, int] = LABEL_WORDS, banned: bool = False) -> Column:
+    """Array of problem codes of a label: empty, below, above, (banned constructions,) acronym, copula, citation, float."""
     n = word_count(text)
     found = [
         F.when(n < words[0], "below"),
@@ -103,7 +128,10 @@ def label_problems(text: Column, words: tuple[int, int] = LABEL_WORDS) -> Column
         F.when(text.rlike(CITATION), "citation"),
         F.when(text.rlike(FLOAT_REFERENCE), "float"),
     ]
-    return F.when(n == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*found)))
+    codes = F.array_compact(F.array(*found))
+    if banned:
+        codes = F.concat(F.array_compact(F.array(*found[:2])), banned_constructions(text), F.array_compact(F.array(*found[2:])))
+    return F.when(n == 0, F.array(F.lit("empty"))).otherwise(codes)
 
 
 def bare_acronyms(text: Column) -> Column:

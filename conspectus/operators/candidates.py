@@ -21,17 +21,19 @@ def merge_candidates(candidates: DataFrame, keys: tuple[str, ...] = ()) -> DataF
     return merged.select(*keys, "key", F.col("best.name").alias("name"), F.col("best.source").alias("source"), F.col("best.weight").alias("weight"), "frequency", "sources", "aliases")
 
 
-def absorb(phrases: DataFrame, name: str = "name", count: str = "frequency") -> DataFrame:
-    """Phrases without those that hold a kept, shorter phrase (as words) of at least their own count.
+def absorb(phrases: DataFrame, name: str = "name", count: str = "frequency", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Phrases without those that hold a kept, shorter phrase (as words, in any case) of at least their own count.
 
-    Each phrase meets its own inner word runs only, found by equality, so the join grows with phrase length and not
-    with the square of the phrases. Whatever a dropped phrase would absorb, its absorber absorbs too.
+    Phrases meet within ``keys``. Each meets its own inner word runs only, found by equality, so the join grows with
+    phrase length and not with the square of the phrases. Whatever a dropped phrase would absorb, its absorber
+    absorbs too.
     """
-    words = F.split(F.col(name), " ")
+    words = F.split(F.lower(name), " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    inner = phrases.withColumn("w", words).where(F.size("w") > 1).select(F.col(name).alias("long"), F.col(count).alias("own"), F.explode(F.array_distinct(runs)).alias(name))
-    taken = inner.join(phrases.select(name, count), name).where(F.col(count) >= F.col("own")).select(F.col("long").alias(name)).distinct()
-    return phrases.join(taken, name, "left_anti")
+    inner = phrases.withColumn("w", words).where(F.size("w") > 1).select(*keys, F.col(name).alias("long"), F.col(count).alias("own"), F.explode(F.array_distinct(runs)).alias("run"))
+    most = phrases.groupBy(*keys, F.lower(name).alias("run")).agg(F.max(count).alias("most"))
+    taken = inner.join(most, [*keys, "run"]).where(F.col("most") >= F.col("own")).select(*keys, F.col("long").alias(name)).distinct()
+    return phrases.join(taken, [*keys, name], "left_anti")
 
 
 def section_spread(terms: DataFrame, blocks: DataFrame, words_col: str = "words") -> DataFrame:

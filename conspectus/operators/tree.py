@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,6 +66,25 @@ def section_paths(closed: DataFrame, titles: DataFrame, separator: str = " > ")
     return listed.select("node", F.array_join(F.transform("t", lambda x: x["title"]), separator).alias("path"))
 
 
+def title_paths(sections: DataFrame, title: str = "title") -> DataFrame:
+    """(doc_id, section_id, path): titles from the outermost section down, cycles cut; a task holds one document's sections."""
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        parent = dict(zip(rows["section_id"], rows["parent_id"], strict=True))
+        titles = dict(zip(rows["section_id"], rows["own"], strict=True))
+        paths = []
+        for at in rows["section_id"]:
+            seen: dict[str, None] = {}
+            while at in titles and at not in seen:
+                seen[at] = None
+                at = parent[at]
+            paths.append([titles[s] or "" for s in reversed(seen)])
+        return pd.DataFrame({"doc_id": rows["doc_id"], "section_id": rows["section_id"], "path": paths})
+
+    picked = sections.select("doc_id", "section_id", "parent_id", F.col(title).alias("own"))
+    return picked.groupBy("doc_id").applyInPandas(walk, "doc_id string, section_id string, path array<string>")
+
+
 def accounting(inputs: DataFrame, outputs: DataFrame, key: str = "id") -> DataFrame:
     """One row: input ids, those in no output, those in several, and output ids that are no input."""
     counted = outputs.groupBy(key).agg(F.count("*").alias("n"))

@@ -21,7 +21,7 @@ OTHER_PROPS = ("text", "content", "caption", "latex", "title")
 
 GENERIC = (
     "meta MAP<STRING,STRING>, sections ARRAY<STRUCT<id:STRING,title:STRING,level:INT,parent:STRING,parent_id:STRING>>, "
-    "blocks ARRAY<STRUCT<id:STRING,type:STRING,text:STRING,content:STRING,section:STRING,section_id:STRING>>, bibliography ARRAY<STRING>"
+    "blocks ARRAY<STRUCT<id:STRING,type:STRING,text:STRING,content:STRING,section:STRING,section_id:STRING,name:STRING,props:MAP<STRING,STRING>>>, bibliography ARRAY<STRING>"
 )
 OBJECTS = "objects ARRAY<STRUCT<id:STRING,type:STRING,props:MAP<STRING,STRING>,parent:STRING>>, meta MAP<STRING,STRING>"
 
@@ -58,7 +58,7 @@ def generic(files: DataFrame) -> Corpus:
     at = lambda name: rows.select("doc_id", F.posexplode(F.col("d")[name]).alias("ord", "x"))
     numbered = lambda prefix: F.concat(F.lit(prefix), F.col("ord").cast("string"))
     x = F.col("x")
-    blocks = at("blocks").select("doc_id", "ord", filled(x["id"], numbered("blk_")).alias("block_id"), F.lower(F.coalesce(x["type"], F.lit("paragraph"))).alias("type"), F.coalesce(filled(x["text"], x["content"]), F.lit("")).alias("text"), filled(x["section_id"], x["section"]).alias("section_id"))
+    blocks = at("blocks").select("doc_id", "ord", filled(x["id"], numbered("blk_")).alias("block_id"), F.lower(F.coalesce(x["type"], F.lit("paragraph"))).alias("type"), F.coalesce(filled(x["text"], x["content"]), F.lit("")).alias("text"), filled(x["section_id"], x["section"]).alias("section_id"), filled(x["name"], x["props"]["name"], x["props"]["title"]).alias("name"))
     sections = at("sections").select("doc_id", "ord", filled(x["id"], numbered("sec_")).alias("section_id"), F.coalesce(x["title"], F.lit("")).alias("title"), F.coalesce(x["level"], F.lit(1)).alias("level"), filled(x["parent_id"], x["parent"]).alias("parent_id"))
     entry = F.from_json(x, "id STRING, title STRING, label STRING, year STRING, citations STRING, keywords ARRAY<STRING>")
     whole = lambda c, kind: F.when(c.rlike("^[0-9]+$"), c.try_cast(kind))
@@ -104,7 +104,7 @@ def objects(files: DataFrame) -> Corpus:
     for name, other in ALIASES.items():
         alias = F.when(F.col("kind") == name, other).otherwise(alias)
     kept = rest.where("reason is null")
-    blocks = kept.select("doc_id", "ord", F.col("id").alias("block_id"), F.when(reference, "bibitem").otherwise(alias).alias("type"), "text", F.col("parent").alias("section_id"))
+    blocks = kept.select("doc_id", "ord", F.col("id").alias("block_id"), F.when(reference, "bibitem").otherwise(alias).alias("type"), "text", F.col("parent").alias("section_id"), filled(F.col("props")["name"], F.col("props")["title"]).alias("name"))
     order = Window.partitionBy("doc_id").orderBy("ord")
     bibliography = kept.where(reference).select("doc_id", (F.row_number().over(order) - 1).alias("ord"), F.col("id").alias("bib_id"), F.col("text").alias("title"), F.lit("").alias("label"), F.regexp_extract("text", r"\b((?:19|20)\d{2})\b", 1).try_cast("int").alias("year"), F.lit(None).cast("bigint").alias("citations"), F.array().cast("array<string>").alias("keywords"))
     skipped = rest.where("reason is not null and reason <> 'section'").select("doc_id", F.col("id").alias("object_id"), F.col("kind").alias("object_type"), "reason")
