@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,30 +60,38 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalise_phrase(text: Column) -> Column:
     """White space collapsed, edge punctuation and edge stop words removed."""
     inner = F.regexp_replace(squeezed(text), r"^[ .,;:!?()\[\]{}\"'`–—/\\-]+|[ .,;:!?()\[\]{}\"'`–—/\\-]+$", "")
-    words = words_of(inner)
-    stops = F.array(*[F.lit(w) for w in STOPWORDS])
-    content = F.transform(words, lambda w: ~F.array_contains(stops, F.lower(w)))
-    first = F.array_position(content, F.lit(True))
-    last = F.size(words) - F.array_position(F.reverse(content), F.lit(True)) + 1
-    return F.when(first > 0, F.array_join(F.slice(words, first.cast("int"), (last - first + 1).cast("int")), " ")).otherwise("")
+
+    def between(words: Column, content: Column) -> Column:
+        first = F.array_position(content, F.lit(True))
+        last = F.size(content) - F.array_position(F.reverse(content), F.lit(True)) + 1
+        return F.when(first > 0, F.array_join(F.slice(words, first.cast("int"), (last - first + 1).cast("int")), " ")).otherwise("")
+
+    content = lambda words: F.transform(words, lambda w: ~F.lower(w).isin(STOPWORDS))
+    return bound(words_of(inner), lambda words: bound(content(words), lambda c: between(words, c)))
 
 
 def is_acceptable_phrase(text: Column, max_tokens: int = 5) -> Column:
-    words = words_of(text)
-    stops = F.array(*[F.lit(w) for w in STOPWORDS])
-    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    n = F.size(words)
-    upper = (F.upper(text) == text) & (F.lower(text) != text)
-    return (
-        text.isNotNull()
-        & n.between(1, max_tokens)
-        & F.exists(words, lambda w: ~F.array_contains(stops, F.lower(w)))
-        & (letters >= F.greatest(F.lit(2.0), F.char_length(text) * 0.5))
-        & ((n > 1) | (F.char_length(text) >= 4) | upper)
-    )
+    def judged(t: Column, words: Column) -> Column:
+        letters = F.char_length(F.regexp_replace(t, r"[^\p{L}]", ""))
+        n = F.size(words)
+        upper = (F.upper(t) == t) & (F.lower(t) != t)
+        return (
+            t.isNotNull()
+            & n.between(1, max_tokens)
+            & F.exists(words, lambda w: ~F.lower(w).isin(STOPWORDS))
+            & (letters >= F.greatest(F.lit(2.0), F.char_length(t) * 0.5))
+            & ((n > 1) | (F.char_length(t) >= 4) | upper)
+        )
+
+    return bound(text, lambda t: bound(words_of(t), lambda words: judged(t, words)))
 
 
 def strip_numbering(title: Column, depth: int = 6) -> Column:

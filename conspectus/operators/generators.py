@@ -104,10 +104,13 @@ def _prose(corpus) -> DataFrame:
 
 def shorten_title(title: Column, most: int = 8) -> Column:
     """A title's first clause if it is short enough, else its first words."""
-    flat = T.squeezed(F.coalesce(title, F.lit("")))
-    head = F.trim(F.split(flat, CLAUSE)[0])
-    cut = F.array_join(F.slice(T.words_of(flat), 1, most), " ")
-    return F.when(T.word_count(flat) <= most, flat).when((head != "") & (T.word_count(head) <= most), head).otherwise(cut)
+
+    def shortened(flat: Column) -> Column:
+        head = F.trim(F.split(flat, CLAUSE)[0])
+        cut = F.array_join(F.slice(T.words_of(flat), 1, most), " ")
+        return F.when(T.word_count(flat) <= most, flat).when((head != "") & (T.word_count(head) <= most), head).otherwise(cut)
+
+    return T.bound(T.squeezed(F.coalesce(title, F.lit(""))), shortened)
 
 
 def headings(corpus, depth: int = 3, paths: bool = True, boilerplate: bool = False) -> DataFrame:
@@ -209,12 +212,16 @@ def glossary(corpus, statements: bool = True, terms: bool = True, acronyms: bool
 
 def clean_title(raw: Column, least: int = 3) -> Column:
     """Title of a reference entry without number, authors and venue; empty if traces of these remain."""
+
+    def shortened_by(pattern: str) -> Callable[[Column], Column]:
+        long_enough = lambda cut: F.when(T.word_count(cut) >= least, cut)
+        return lambda whole: F.coalesce(T.bound(F.regexp_replace(whole, pattern, ""), long_enough), whole)
+
     flat = F.regexp_replace(T.squeezed(F.coalesce(raw, F.lit(""))), LEADING_MARKER, "")
     for pattern in (AUTHOR_RUN, TRAILING_VENUE):
-        cut = F.regexp_replace(flat, pattern, "")
-        flat = F.when(T.word_count(cut) >= least, cut).otherwise(flat)
+        flat = T.bound(flat, shortened_by(pattern))
     flat = F.regexp_replace(flat, r"^[ .,;:]+|[ .,;:]+$", "")
-    return F.when(flat.rlike(UNCLEANED), "").otherwise(flat)
+    return T.bound(flat, lambda f: F.when(f.rlike(UNCLEANED), "").otherwise(f))
 
 
 def bibliography(corpus, words: tuple[int, int] = (3, 30), long: int = 12, most: int = 8) -> DataFrame:
