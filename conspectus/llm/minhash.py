@@ -11,8 +11,10 @@ third of all rows spreads over many tasks). Of each run of equal keys the member
 its centre, with which its members are paired. Members of crowded runs that this leaves apart are paired, under
 these and finer keys, with the centre, with ``spread`` members evenly spread over the run and with their ``near``
 predecessors; of those compared by sketch, a member's likeliest partner under each key becomes a pair. All this
-is linear in the run's size. Every pair is checked exactly on shingle multisets, and classes are the connected components of the
-links of at least ``threshold``. Exact copies are one node from the start.
+is linear in the run's size and only serves to join most of a run cheaply. Then in every crowded run whatever is
+still apart is compared by sketch with all members of other roots, so no candidate is left out: this costs the
+members outside the run's most frequent root times the run. Every pair is checked exactly on shingle multisets, and
+classes are the connected components of the links of at least ``threshold``. Exact copies are one node from the start.
 
 Defined results: null and empty texts are one class; a text under five words is one shingle of all its words;
 equal texts always share a class; rows with equal ids are told apart by their text; the class id is the least id
@@ -132,8 +134,8 @@ def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, su
 
     Each band key is sorted with the three keys that follow it in the text's ring of bands, so texts that share
     more stand nearer. Of a run of over ``piece`` rows each piece has a centre, and neighbouring centres are paired;
-    a run that two partitions share is joined by the other bands. Pairs (a, a) mark members of runs in
-    which not all have been paired.
+    pairs that two pieces or partitions share are left out. Pairs (a, a) mark members of runs in which not all have
+    been paired, or that may go on in another piece.
     """
     ring = F.concat("bands", F.slice("bands", 1, 3))
     rows = nodes.where("bands is not null").select("node", "copies", "sketch", "root", F.explode(F.transform("bands", lambda _, i: F.slice(ring, i + 1, 4))).alias("keys"))
@@ -180,7 +182,7 @@ def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, su
         if last_centre is not None and last_centre[0] == key[m] and last_centre[2] != root[m + centre[0]]:
             found = np.concatenate([found, [[last_centre[1], node[m + centre[0]]]]])
         found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], 1), axis=0)
-        crowd = np.unique(node[m:][length[run] > max(2, spread)])
+        crowd = np.unique(node[m:][(length[run] > 2) | (run == 0) | (run == run[-1])])
         found = np.concatenate([found, np.stack([crowd, crowd], 1)])
         tail = (key[-near:], node[-near:], sketch[-near:], root[-near:])
         return found, tail, (key[-1], node[m + centre[-1]], root[m + centre[-1]])
@@ -205,6 +207,58 @@ def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, su
     return ordered.mapInArrow(pairs, "a long, b long").distinct()
 
 
+def rest_pairs(nodes: DataFrame, sure: float = SURE, slot_rows: int = 4096, block: int = 1 << 16) -> DataFrame:
+    """All pairs (a, b) of nodes (node, bands, sketch, root) that share a band, have unlike roots and pass ``sure``.
+
+    Of each run the members outside its most frequent root meet every member of another root. A large run's members
+    are dealt out in slots of about ``slot_rows``, each of which gets those outside too and holds them while it
+    streams its members.
+    """
+    rows = written(nodes.where("bands is not null").select("node", "root", "sketch", F.explode("bands").alias("key")), "bands")
+    # written, so that the join below reads two plain exchanges and its hot keys can be split
+    sizes = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.sum("count").alias("n"), F.count("*").alias("roots"))
+    sizes = written(sizes.where("roots > 1").select("key", "top", F.ceil(F.col("n") / slot_rows).cast("int").alias("slots")), "mixed")
+    member = rows.join(sizes, "key").withColumn("outside", F.col("root") != F.col("top"))
+    first = member.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("side"), "node", "root", "outside", "sketch")
+    second = member.select("key", F.pmod(F.xxhash64("node"), "slots").cast("int").alias("slot"), F.lit(1).alias("side"), "node", "root", "outside", "sketch")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = first.unionByName(second).repartition(parts, "key", "slot").sortWithinPartitions("key", "slot", "side")
+
+    def compared(own, other):
+        n0, r0, s0 = own
+        n1, r1, out1, s1 = other
+        step = max(1, block // max(1, len(n1)))
+        for x in range(0, len(n0), step):
+            meets = (r0[x : x + step, None] != r1[None]) & (~out1[None] | (n0[x : x + step, None] < n1[None]))
+            i, j = np.nonzero(meets)
+            close = (s0[x + i] == s1[j]).mean(1) >= sure
+            a, b = n0[x + i[close]], n1[j[close]]
+            if len(a):
+                yield np.minimum(a, b), np.maximum(a, b)
+
+    def pairs(batches):
+        now, held = None, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, slot, side, node, root = (batch.column(i).to_numpy() for i in range(5))
+            outside = batch.column(5).to_numpy(zero_copy_only=False)
+            sketch = np.frombuffer(string_bytes(batch.column(6))[0], np.uint8).reshape(n, -1)
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1]) | (side[1:] != side[:-1])])
+            for x, y in zip(cuts, np.r_[cuts[1:], n], strict=True):
+                if now != (key[x], slot[x]):
+                    now, held = (key[x], slot[x]), []
+                if side[x] == 0:
+                    held.append((node[x:y].copy(), root[x:y].copy(), sketch[x:y].copy()))
+                    continue
+                for own in held:
+                    for a, b in compared(own, (node[x:y], root[x:y], outside[x:y], sketch[x:y])):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return runs.mapInArrow(pairs, "a long, b long").distinct()
+
+
 def with_finer(nodes: DataFrame, steps: tuple[int, ...] = (1, 3)) -> DataFrame:
     """Nodes with keys made of two bands each besides their bands.
 
@@ -313,7 +367,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = written(candidate_pairs(with_finer(crowd)).where("a <> b"), "pairs")
     links = links_of(more).select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    placed = made.groupBy("node").agg(F.min("__id").alias("least")).join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    roots = components(links)
+    # last, all that crowded runs still hold apart and that has not been checked
+    apart = crowd.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = written(rest_pairs(apart).join(star.union(more), ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = links_of(rest).select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+    placed = made.groupBy("node").agg(F.min("__id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # nulls rank last: a class has a null id only if all its ids are null
     named = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "node")).alias("first"))
     placed = placed.join(named, "root").select("node", F.col("first.least").alias("class_id"), (F.col("node") == F.col("first.node")).alias("__first"))

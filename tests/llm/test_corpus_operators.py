@@ -132,6 +132,29 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_a_crowded_run_compares_all_that_is_apart(spark):
+    rng = random.Random(7)
+    words = line(rng, 120).split()
+
+    def changed(text, n):
+        copy = list(text)
+        for j in rng.sample(range(len(copy)), n):
+            copy[j] = f"z{rng.randrange(10**9)}"
+        return copy
+
+    mates = [(m, changed(m, 2)) for m in (changed(words, 4) for _ in range(300))]
+    rows = [(i, " ".join(text)) for i, text in enumerate(x for pair in mates for x in pair)]
+    keys = {r.doc_id: r.bands[0] for r in minhash.signatures(table(spark, rows), "text", ("doc_id",), 16, 4).collect()}
+    common = Counter(keys.values()).most_common(1)[0][0]
+    rows = [r for r in rows if keys[r[0]] == common]  # all under one key
+    expected = exact_classes(rows)
+    assert len(rows) > 60 and len(expected) > 20
+    classes = defaultdict(set)
+    for r in minhash.near_duplicates(table(spark, rows), k=16, rows=4).collect():
+        classes[r.class_id].add(r.doc_id)
+    assert {frozenset(v) for v in classes.values()} == expected
+
+
 def test_one_of_each_keeps_whole_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (2, "a b c d e f"), (None, None), (7, None)]
     got = minhash.one_of_each(table(spark, rows)).collect()
