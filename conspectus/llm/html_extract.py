@@ -5,7 +5,8 @@ linked characters: good, bad, or ambiguous (short, or near the limits). Pass 2 g
 their nearest decided neighbours, before and after, within the same region; where the two differ, a good neighbour
 wins for near-good blocks and a bad one for short ones. Page furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles) is recognised by its element, role, class or id and is bad from the
-start. A region that the page itself names as its article or main part carries its own evidence: blocks there are
+start; it decides no neighbour. A heading goes with the block that follows. Where a page has no good block its near-good
+ones are taken for good. A region that the page itself names as its article or main part carries its own evidence: blocks there are
 bad only for their links, and if none is decided the region is good.
 
 Defined results: null, empty or textless pages give the empty text; unclosed and cut-off tags end at the end of the
@@ -40,6 +41,7 @@ BLOCK_TAGS = frozenset(
 RAW_TAGS = frozenset("script style noscript template iframe svg math canvas object noframes noembed xmp".split())
 FURNITURE_TAGS = frozenset("head nav footer aside form menu dialog button select textarea search title header".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset(("article", "main"))
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FURNITURE_WORDS = frozenset(
@@ -89,13 +91,14 @@ def _furniture(tag: str, token: str, inside_main: bool) -> tuple[bool, bool]:
     return bad, main and not bad
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, int]]:
-    """(text, share of linked characters, is furniture, region; 0 outside a named main part) in page order."""
+def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
+    """(text, share of linked characters, is furniture, region; 0 outside a named main part, is a heading) in page order."""
     out = []
     stack: list[_Region] = []
     text: list[str] = []
     linked = links = 0
     regions = 0
+    heading = False
     raw_end = None
     pos = 0
     size = len(page)
@@ -106,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
                 top = stack[-1] if stack else None
-                out.append((joined, min(1.0, linked / len(joined)), bool(top and top.bad), top.number if top else 0))
+                out.append((joined, min(1.0, linked / len(joined)), bool(top and top.bad), top.number if top else 0, heading))
             text.clear()
         linked = 0
 
@@ -133,6 +136,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
                 links = max(0, links - 1)
             elif tag in BLOCK_TAGS:
                 close()
+                heading = heading and tag not in HEADINGS
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             if at is not None and not any(stack[i].tag in ("article", "main", "body") for i in range(at + 1, len(stack))):
                 close()
@@ -150,6 +154,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
         if tag in BLOCK_TAGS:
             close()
             links = 0
+            heading = tag in HEADINGS or heading and tag != "p"
         elif tag == "br":
             text.append(" ")
         if tag in VOID_TAGS:
@@ -173,10 +178,12 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
-def first_pass(block: tuple[str, float, bool, int], short=SHORT, long=LONG, low=STOPS_LOW, high=STOPS_HIGH, links=LINKS) -> str:
-    """good, bad, near or short."""
-    text, linked, furniture, region = block
-    if furniture or linked > links and len(text) >= 2:
+def first_pass(block: tuple[str, float, bool, int, bool], short=SHORT, long=LONG, low=STOPS_LOW, high=STOPS_HIGH, links=LINKS) -> str:
+    """good, bad, near, short or furniture."""
+    text, linked, furniture, region, _ = block
+    if furniture:
+        return "furniture"
+    if linked > links and len(text) >= 2:
         return "bad"
     if not region and text[:1] == "©":
         return "bad"
@@ -190,8 +197,10 @@ def first_pass(block: tuple[str, float, bool, int], short=SHORT, long=LONG, low=
     return "bad"
 
 
-def second_pass(labels: list[str], regions: list[int]) -> list[bool]:
+def second_pass(labels: list[str], regions: list[int], headings: list[bool]) -> list[bool]:
     """Whether each block is main text. Furniture between two blocks of a region does not part them."""
+    if "good" not in labels:
+        labels = ["good" if label == "near" and not heading else label for label, heading in zip(labels, headings, strict=True)]
     keep = [label == "good" for label in labels]
     by_region: dict[int, list[int]] = {}
     for i, r in enumerate(regions):
@@ -215,13 +224,19 @@ def second_pass(labels: list[str], regions: list[int]) -> list[bool]:
                 continue
             b, a = before[n], after[n]
             if b is None and a is None:
-                keep[i] = bool(region) or labels[i] == "near"
+                keep[i] = True
             elif region:
                 keep[i] = True
             elif labels[i] == "near":
                 keep[i] = "good" in (a, b) or None in (a, b)
             else:
                 keep[i] = (b or a) == "good" and (a or b) == "good"
+        follows = None
+        for i in reversed(own):
+            if headings[i] and labels[i] in ("near", "short") and not region and follows is not None:
+                keep[i] = follows
+            elif labels[i] != "furniture":
+                follows = keep[i]
     return keep
 
 
@@ -232,9 +247,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     regions = [b[3] for b in found]
     labels = [first_pass(b) for b in found]
-    if any(r and label != "bad" for r, label in zip(regions, labels, strict=True)):
-        labels = [label if r else "bad" for r, label in zip(regions, labels, strict=True)]
-    keep = second_pass(labels, regions)
+    if any(r and label not in ("bad", "furniture") for r, label in zip(regions, labels, strict=True)):
+        labels = [label if r else "furniture" for r, label in zip(regions, labels, strict=True)]
+    keep = second_pass(labels, regions, [b[4] for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 

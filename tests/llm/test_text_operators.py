@@ -167,6 +167,22 @@ def test_html_without_article():
     assert html_extract.main_text(page).split("\n") == [(sentence * 4).strip(), "A short line here.", (sentence * 3).strip()]
 
 
+SITE = "<head><title>A page of the site</title></head><body><nav><a href=1>One</a></nav><div>%s</div><footer>Imprint of the site</footer></body>"
+
+
+def test_html_furniture_decides_no_neighbour():
+    sentence = "This is a sentence of the text that is in the page and has many of the words that are so common in it. "
+    long = (sentence * 4).strip()
+    links = "<h2>Related</h2><div><a href=1>One more page of this</a> <a href=2>Two more</a></div>"
+    for body, expected in (
+        (f"<h1>A headline</h1><p>{long}</p><p>A short end.</p>", ["A headline", long, "A short end."]),
+        (f"<div><a href=0>Home</a></div><h1>A headline</h1><p>{long}</p>{links}", ["A headline", long]),
+        (f"<h1>A headline</h1><p>{sentence}</p><p>{sentence}</p>{links}", ["A headline", sentence.strip(), sentence.strip()]),
+        ("<p>One short line.</p><p>Two short lines.</p>", ["One short line.", "Two short lines."]),
+    ):
+        assert html_extract.main_text(SITE % body).split("\n") == expected
+
+
 def test_html_odd_input():
     for page in ("<", "<p", "a < b", "<p>a<", "<!--", "<script>", "</p></div>", "<a><a><a>", "&#x0;&bogus;", "<p>" * 3000 + "x"):
         html_extract.main_text(page)
