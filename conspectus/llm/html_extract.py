@@ -6,7 +6,8 @@ their nearest decided neighbours, before and after, within the same region; wher
 wins for near-good blocks and a bad one for short ones. Page furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles) is recognised by its element, role, class or id and is bad from the
 start; it decides no neighbour. A heading goes with the block that follows. Where a page has no good block its near-good
-ones are taken for good. A region that the page itself names as its article or main part carries its own evidence: blocks there are
+ones are taken for good. A page whose words match no list of stop words is in another language: its blocks are
+classified by length and links alone. A region that the page itself names as its article or main part carries its own evidence: blocks there are
 bad only for their links, and if none is decided the region is good.
 
 Defined results: null, empty or textless pages give the empty text; unclosed and cut-off tags end at the end of the
@@ -178,8 +179,14 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
-def first_pass(block: tuple[str, float, bool, int, bool], short=SHORT, long=LONG, low=STOPS_LOW, high=STOPS_HIGH, links=LINKS) -> str:
-    """good, bad, near, short or furniture."""
+def other_language(found: list[tuple[str, float, bool, int, bool]], low=STOPS_LOW) -> bool:
+    """Whether what is no furniture has words, but too few stop words of any language."""
+    text = " ".join(b[0] for b in found if not b[2])
+    return _WORD.search(text) is not None and stop_density(text) < low
+
+
+def first_pass(block: tuple[str, float, bool, int, bool], other=False, short=SHORT, long=LONG, low=STOPS_LOW, high=STOPS_HIGH, links=LINKS) -> str:
+    """good, bad, near, short or furniture; ``other``: the page is in a language without stop words here."""
     text, linked, furniture, region, _ = block
     if furniture:
         return "furniture"
@@ -189,7 +196,7 @@ def first_pass(block: tuple[str, float, bool, int, bool], short=SHORT, long=LONG
         return "bad"
     if len(text) < short:
         return "short" if not linked or region else "bad"
-    density = stop_density(text)
+    density = high if other else stop_density(text)
     if density >= high:
         return "good" if len(text) > long else "near"
     if density >= low or region:
@@ -246,7 +253,8 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     regions = [b[3] for b in found]
-    labels = [first_pass(b) for b in found]
+    other = other_language(found)
+    labels = [first_pass(b, other) for b in found]
     if any(r and label not in ("bad", "furniture") for r, label in zip(regions, labels, strict=True)):
         labels = [label if r else "furniture" for r, label in zip(regions, labels, strict=True)]
     keep = second_pass(labels, regions, [b[4] for b in found])

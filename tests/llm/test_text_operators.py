@@ -183,6 +183,12 @@ def test_html_furniture_decides_no_neighbour():
         assert html_extract.main_text(SITE % body).split("\n") == expected
 
 
+def test_html_in_a_language_without_stop_words():
+    for long in ("Сегодня утром жители города собрались возле старой библиотеки чтобы обсудить будущее здания. " * 4, "今天早上居民聚集在旧图书馆前讨论这座建筑的未来，许多人希望它能够保留下来。" * 8):
+        page = SITE % f"<div><a href=0>{long[:20]}</a></div><h1>{long[:12].strip()}</h1><p>{long}</p><p>{long[:90]}</p>"
+        assert html_extract.main_text(page).split("\n") == [long[:12].strip(), long.strip(), long[:90].strip()]
+
+
 def test_html_odd_input():
     for page in ("<", "<p", "a < b", "<p>a<", "<!--", "<script>", "</p></div>", "<a><a><a>", "&#x0;&bogus;", "<p>" * 3000 + "x"):
         html_extract.main_text(page)
