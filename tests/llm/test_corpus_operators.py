@@ -62,6 +62,34 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(table(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_inside_lines_go(spark):
+    rng = random.Random(8)
+    own = [line(rng, 20) for _ in range(14)]
+    passage, short, whole = line(rng, 54), line(rng, 49), line(rng, 60)
+    half = passage.split()
+    rows = [
+        (1, f"{own[0]} {passage} {own[1]}"),
+        (2, f"{own[2]} {passage} {own[3]}\n{own[4]}"),
+        (3, f"{own[5]} {' '.join(half[:20])}\n\n{' '.join(half[20:])} {own[6]}"),
+        (4, f"{own[7]}\n{passage}\n{own[8]} {short}"),
+        (5, f"{own[9]} {short}\n{whole}"),
+        (6, f"{own[10]}\n{whole}\n{own[11]} {passage}"),
+        (7, f"{own[12]} {whole}"),
+        (8, f"é {passage} {passage} {own[13]}"),
+    ]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {
+        1: rows[0][1],
+        2: f"{own[2]} {own[3]}\n{own[4]}",
+        3: f"{own[5]}\n{own[6]}",
+        4: f"{own[7]}\n{own[8]} {short}",
+        5: rows[4][1],
+        6: f"{own[10]}\n{own[11]}",
+        7: own[12],
+        8: f"é {own[13]}",
+    }
+
+
 def test_repeated_rows_of_one_document_keep_the_same_lines(spark):
     text = "\n".join(" ".join(f"a{i}.{j}" for j in range(30)) for i in range(4))
     got = line_dedup.dedup_lines(table(spark, [(1, text), (1, text), (2, text)])).collect()
