@@ -6,15 +6,13 @@ its hash, each with a coordinate; a fractional last unit keeps the darts that fa
 ``k ln k + 2k`` darts of least rank reach a text, whatever its size, and each coordinate keeps its earliest. Two
 texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Bands of ``rows`` coordinates are sorted as keys over the whole cluster (range partitions, so a key held by a
-third of all rows spreads over many tasks). Of each run of equal keys the member that agrees most with the run is
-its centre, with which its members are paired. Members of crowded runs that this leaves apart are paired, under
-these and finer keys, with the centre, with ``spread`` members evenly spread over the run and with their ``near``
-predecessors; of those compared by sketch, a member's likeliest partner under each key becomes a pair. All this
-is linear in the run's size and only serves to join most of a run cheaply. Then in every crowded run whatever is
-still apart is compared by sketch with all members of other roots, so no candidate is left out: this costs the
-members outside the run's most frequent root times the run. Every pair is checked exactly on shingle multisets, and
-classes are the connected components of the links of at least ``threshold``. Exact copies are one node from the start.
+Bands of ``rows`` coordinates are keys; the texts with an equal key are a run. Every member of a run is paired with
+the run's centre, its member with most companions, and each distinct pair is checked exactly on shingle multisets:
+this joins most of a group at a cost in proportion to its size. What a run still holds apart is then compared
+exactly with all its members of other classes, so no two texts that share a key are left unchecked unless their
+classes are joined already; this costs the members outside a run's largest class times the run, in blocks. Classes
+are the connected components of the links of at least ``threshold``; they do not depend on the number of partitions.
+Exact copies are one node from the start. Two texts of similarity 0.8 share none of the 20 keys with a chance of 3e-5.
 
 Defined results: null and empty texts are one class; a text under five words is one shingle of all its words;
 equal texts always share a class; rows with equal ids are told apart by their text; the class id is the least id
@@ -25,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import free_names, small_batches, written
@@ -35,9 +33,6 @@ K = 80
 ROWS = 4
 SHINGLE = 5
 THRESHOLD = 0.8
-NEAR = 4
-SPREAD = 8  # members evenly spread over a run with which all others are paired, besides its centre
-SURE = 0.6  # pairs whose signatures' 8-bit sketches agree less are not near 0.8: over four deviations away
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +101,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(df: DataFrame, text_col: str, keep: tuple[str, ...], k: int = K, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """``keep``, bands (array of 64-bit keys, null without words) and sketch (a byte per coordinate); no shuffle."""
+    """``keep`` and bands (array of 64-bit keys, null without words); no shuffle."""
     small_batches(df.sparkSession)
     picked = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
@@ -114,7 +109,7 @@ def signatures(df: DataFrame, text_col: str, keep: tuple[str, ...], k: int = K,
     def made(batches):
         for batch in batches:
             raw, bounds = string_bytes(batch.column(len(keep)))
-            bands, sketches = [], []
+            bands = []
             for x, y in slices(bounds):
                 own = bounds[x : y + 1] - bounds[x]
                 starts, _, hashes = tokenise(raw[bounds[x] : bounds[y]], own, WORDS)
@@ -123,175 +118,53 @@ def signatures(df: DataFrame, text_col: str, keep: tuple[str, ...], k: int = K,
                     values, counts = np.unique(text_shingles(hashes[at[i] : at[i + 1]], size), return_counts=True)
                     signature = dart_minhash(values, counts.astype(np.float64), k) if len(values) else None
                     bands.append(None if signature is None else band_keys(signature, rows).view(np.int64))
-                    sketches.append(None if signature is None else (signature >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[*keep, "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bands, pa.list_(pa.int64()))], names=[*keep, "bands"])
 
-    return picked.mapInArrow(made, f"{schema}, bands array<long>, sketch binary")
+    return picked.mapInArrow(made, f"{schema}, bands array<long>")
 
 
-def candidate_pairs(nodes: DataFrame, near: int = NEAR, spread: int = SPREAD, sure: float = SURE, piece: int = 100_000) -> DataFrame:
-    """Distinct pairs (a, b) of node numbers from nodes (node, bands, sketch, copies, root), the roots unlike.
-
-    Each band key is sorted with the three keys that follow it in the text's ring of bands, so texts that share
-    more stand nearer. Of a run of over ``piece`` rows each piece has a centre, and neighbouring centres are paired;
-    pairs that two pieces or partitions share are left out. Pairs (a, a) mark members of runs in which not all have
-    been paired, or that may go on in another piece.
-    """
-    ring = F.concat("bands", F.slice("bands", 1, 3))
-    rows = nodes.where("bands is not null").select("node", "copies", "sketch", "root", F.explode(F.transform("bands", lambda _, i: F.slice(ring, i + 1, 4))).alias("keys"))
-    rows = rows.select(F.col("keys")[0].alias("key"), F.col("keys")[1].alias("k1"), F.col("keys")[2].alias("k2"), F.col("keys")[3].alias("k3"), "copies", "node", "root", "sketch")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "key", "k1", "k2", "k3", "node").sortWithinPartitions("key", "k1", "k2", "k3", "node")
-
-    def paired(table, tail, last_centre):
-        key, k1, k2, k3, copies, node, root = (table.column(i).to_numpy() for i in range(7))
-        n = len(key)
-        sketch = np.frombuffer(string_bytes(table.column(7).combine_chunks())[0], np.uint8).reshape(n, -1)
-        run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-        score = np.zeros(n)
-        for ki in (k1, k2, k3):  # how many of the run agree in the keys that follow
-            order = np.lexsort((ki, run))
-            new = np.r_[True, (ki[order][1:] != ki[order][:-1]) | (run[order][1:] != run[order][:-1])]
-            group = np.cumsum(new) - 1
-            score[order] += np.bincount(group)[group]
-        order = np.lexsort((node, -copies, -score, run))
-        centre = order[np.searchsorted(run[order], np.arange(run[-1] + 1))]
-        m = 0
-        if tail is not None:
-            m = len(tail[0])
-            key, node, sketch, root = np.r_[tail[0], key], np.r_[tail[1], node], np.r_[tail[2], sketch], np.r_[tail[3], root]
-        left, right = [np.arange(m, m + n)], [m + centre[run]]
-        length = np.bincount(run)
-        begin = np.cumsum(length) - length
-        for j in range(spread):
-            left.append(left[0])
-            right.append(m + (begin + (2 * j + 1) * length // (2 * spread))[run])
-        for step in range(1, near + 1):
-            same = np.flatnonzero(key[step:] == key[:-step])
-            left.append(same + step)
-            right.append(same)
-        left, right = np.concatenate(left), np.concatenate(right)
-        two = root[left] != root[right]
-        left, right = left[two], right[two]
-        agree = np.concatenate([(sketch[left[i : i + 65536]] == sketch[right[i : i + 65536]]).mean(1) for i in range(0, len(left), 65536)] or [np.zeros(0)])
-        left, right, agree = left[agree >= sure], right[agree >= sure], agree[agree >= sure]
-        best = np.lexsort((-agree, left))  # each member's likeliest partner of those compared under this key
-        best = best[np.r_[True, left[best][1:] != left[best][:-1]]] if len(best) else best
-        left, right = left[best], right[best]
-        found = np.stack([node[left], node[right]], 1)
-        if last_centre is not None and last_centre[0] == key[m] and last_centre[2] != root[m + centre[0]]:
-            found = np.concatenate([found, [[last_centre[1], node[m + centre[0]]]]])
-        found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], 1), axis=0)
-        crowd = np.unique(node[m:][(length[run] > 2) | (run == 0) | (run == run[-1])])
-        found = np.concatenate([found, np.stack([crowd, crowd], 1)])
-        tail = (key[-near:], node[-near:], sketch[-near:], root[-near:])
-        return found, tail, (key[-1], node[m + centre[-1]], root[m + centre[-1]])
-
-    def pairs(batches):
-        tail = last_centre = None
-        waiting: list = []
-        count = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if count >= piece // 4 and (count >= piece or waiting[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py()):
-                found, tail, last_centre = paired(pa.Table.from_batches(waiting), tail, last_centre)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-                waiting, count = [], 0
-            waiting.append(batch)
-            count += batch.num_rows
-        if waiting:
-            found, _, _ = paired(pa.Table.from_batches(waiting), tail, last_centre)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    return ordered.mapInArrow(pairs, "a long, b long").distinct()
-
-
-def rest_pairs(nodes: DataFrame, sure: float = SURE, slot_rows: int = 4096, block: int = 1 << 16) -> DataFrame:
-    """All pairs (a, b) of nodes (node, bands, sketch, root) that share a band, have unlike roots and pass ``sure``.
-
-    Of each run the members outside its most frequent root meet every member of another root. A large run's members
-    are dealt out in slots of about ``slot_rows``, each of which gets those outside too and holds them while it
-    streams its members.
-    """
-    rows = written(nodes.where("bands is not null").select("node", "root", "sketch", F.explode("bands").alias("key")), "bands")
-    # written, so that the join below reads two plain exchanges and its hot keys can be split
-    sizes = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.sum("count").alias("n"), F.count("*").alias("roots"))
-    sizes = written(sizes.where("roots > 1").select("key", "top", F.ceil(F.col("n") / slot_rows).cast("int").alias("slots")), "mixed")
-    member = rows.join(sizes, "key").withColumn("outside", F.col("root") != F.col("top"))
-    first = member.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("side"), "node", "root", "outside", "sketch")
-    second = member.select("key", F.pmod(F.xxhash64("node"), "slots").cast("int").alias("slot"), F.lit(1).alias("side"), "node", "root", "outside", "sketch")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = first.unionByName(second).repartition(parts, "key", "slot").sortWithinPartitions("key", "slot", "side")
-
-    def compared(own, other):
-        n0, r0, s0 = own
-        n1, r1, out1, s1 = other
-        step = max(1, block // max(1, len(n1)))
-        for x in range(0, len(n0), step):
-            meets = (r0[x : x + step, None] != r1[None]) & (~out1[None] | (n0[x : x + step, None] < n1[None]))
-            i, j = np.nonzero(meets)
-            close = (s0[x + i] == s1[j]).mean(1) >= sure
-            a, b = n0[x + i[close]], n1[j[close]]
-            if len(a):
-                yield np.minimum(a, b), np.maximum(a, b)
-
-    def pairs(batches):
-        now, held = None, []
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            key, slot, side, node, root = (batch.column(i).to_numpy() for i in range(5))
-            outside = batch.column(5).to_numpy(zero_copy_only=False)
-            sketch = np.frombuffer(string_bytes(batch.column(6))[0], np.uint8).reshape(n, -1)
-            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1]) | (side[1:] != side[:-1])])
-            for x, y in zip(cuts, np.r_[cuts[1:], n], strict=True):
-                if now != (key[x], slot[x]):
-                    now, held = (key[x], slot[x]), []
-                if side[x] == 0:
-                    held.append((node[x:y].copy(), root[x:y].copy(), sketch[x:y].copy()))
-                    continue
-                for own in held:
-                    for a, b in compared(own, (node[x:y], root[x:y], outside[x:y], sketch[x:y])):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return runs.mapInArrow(pairs, "a long, b long").distinct()
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """Rows (node, pos, key, n) of the band keys that ``n`` > 1 nodes of (node, bands) have, written to the shared folder."""
+    rows = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("pos", "key"))
+    # written, so that the join reads two plain exchanges and its hot keys can be split
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    return written(rows.join(sizes, "key").select("node", "pos", "key", "n"), "shared")
 
 
-def with_finer(nodes: DataFrame, steps: tuple[int, ...] = (1, 3)) -> DataFrame:
-    """Nodes with keys made of two bands each besides their bands.
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, n): each node b with the centre a of each of its runs, the run's size at most n.
 
-    Texts of a similarity of 0.8 share about seven of these forty keys, while the looser members of a crowded run
-    part, so that those left in a run are near enough for its centre.
+    A run's centre is its member with most companions in all its runs, of equals the greatest number. Neighbours
+    choose the same centres, so a group's members have few distinct partners whatever its size.
     """
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    centre = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best"))
+    centre = written(centre.select("key", F.col("best.node").alias("a")), "centres")
+    return shared.join(centre, "key").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"))
 
-    def two(step):
-        return F.transform("bands", lambda x, i: F.xxhash64(F.lit(step), x, F.get("bands", F.pmod(i + step, F.size("bands")))))
 
-    return nodes.withColumn("bands", F.concat("bands", *[two(step) for step in steps]))
+def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(node, bands, set) of (node, bands, text): the sorted hashes of its numbered shingles."""
 
+    def made(batches):
+        for batch in batches:
+            raw, bounds = string_bytes(batch.column(2))
+            out = [numbered(raw[bounds[i] : bounds[i + 1]].tobytes(), size).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["node", "bands", "set"])
 
-def checked_links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, salt: int = 16) -> DataFrame:
-    """Pairs (a, b, similarity) of at least ``threshold``, from pairs and texts (node, text).
+    return texts.select("node", "bands", "text").mapInArrow(made, "node long, bands array<long>, set binary")
 
-    Shingles of the nodes in pairs are made once. A task streams (salted) runs of one left side: its shingles, then
-    each partner's; it holds one left side at a time, so a node with very many partners is no burden.
-    """
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    picked = texts.join(used, "node", "left_semi").select("node", "text")
 
-    def sets(batches):
-        for batch in batches:
-            raw, bounds = string_bytes(batch.column(1))
-            out = [numbered(raw[bounds[i] : bounds[i + 1]].tobytes(), size).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "set"])
+def checked_links(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, each: int = 1024) -> DataFrame:
+    """Pairs (a, b, similarity) of at least ``threshold``, from pairs (a, b, n) and sets (node, set).
 
-    made = written(picked.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "shingles")
-    slot = F.pmod(F.xxhash64("b"), F.lit(salt)).cast("int")
-    salted = pairs.withColumn("slot", slot)
-    left = salted.select("a", "slot").distinct().join(made, F.col("a") == F.col("node")).select("a", "slot", F.lit(None).cast("long").alias("b"), "set")
-    right = salted.join(made, F.col("b") == F.col("node")).select("a", "slot", "b", "set")
+    A task streams runs of one left side: its shingles, then each partner's; it holds one left side at a time. The
+    partners of a left side with many are dealt out, about ``each`` to a task.
+    """
+    sets = sets.select("node", "set")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / each).cast("long")).cast("int").alias("slot"))
+    left = dealt.select("a", "slot").distinct().join(sets, F.col("a") == F.col("node")).select("a", "slot", F.lit(None).cast("long").alias("b"), "set")
+    right = dealt.join(sets, F.col("b") == F.col("node")).select("a", "slot", "b", "set")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = left.unionByName(right).repartition(parts, "a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
 
@@ -314,6 +187,95 @@ def checked_links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHO
     return runs.mapInArrow(check, "a long, b long, similarity double")
 
 
+class _Held:
+    """Members of a run, outside its most frequent class, that others are compared with."""
+
+    def __init__(self):
+        self.parts: list = []
+        self.ready = None
+
+    def add(self, node, root, bands, sets):
+        self.parts.append((node, root, bands, sets))
+
+    def arrays(self):
+        if self.ready is None:
+            sets = [x for p in self.parts for x in p[3]]
+            lengths = np.array([len(x) for x in sets])
+            self.ready = [np.concatenate([p[i] for p in self.parts]) for i in range(3)] + [np.concatenate(sets), lengths, np.cumsum(lengths) - lengths]
+        return self.ready
+
+
+def _shared(own: np.ndarray, values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many entries of ``own`` each of the sorted sets values[first : first + length] has."""
+    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
+    v = values[at]
+    spot = np.searchsorted(own, v)
+    spot[spot == len(own)] = 0
+    return np.add.reduceat((own[spot] == v).astype(np.int64), np.cumsum(length) - length)
+
+
+def run_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = 2048, slot_rows: int = 4096) -> DataFrame:
+    """Links (a, b) that join what runs still hold apart: every pair of a run's members with unlike roots is compared.
+
+    shared: (node, pos, key, n); roots: (node, root) of linked nodes; sets: (node, bands, set). Members outside a run's
+    most frequent root are held in blocks and meet every member, dealt out in slots. A pair is compared only in the
+    first run that its ends share, exactly, and not at all once links of the same task have joined its classes.
+    """
+    placed = shared.join(roots, "node", "left").select("node", "pos", "key", "n", F.coalesce("root", "node").alias("root"))
+    placed = written(placed, "placed")
+    counted = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+    mixed = counted.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    blocks, slots = F.ceil((F.col("n") - F.col("top.m")) / block), F.ceil(F.col("n") / slot_rows)
+    mixed = written(mixed.select("key", F.col("top.root").alias("top"), blocks.cast("int").alias("blocks"), slots.cast("int").alias("slots")), "mixed")
+    member = placed.select("node", "pos", "key", "root").join(mixed, "key").join(sets, "node")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("node")), F.col(n)).cast("int")
+    common = ("node", "root", "pos", "bands", "set")
+    held = member.where("root <> top").select("key", part(1, "blocks").alias("block"), F.explode(every("slots")).alias("slot"), F.lit(0).alias("side"), *common)
+    met = member.select("key", F.explode(every("blocks")).alias("block"), part(2, "slots").alias("slot"), F.lit(1).alias("side"), *common)
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = held.unionByName(met).repartition(parts, "key", "block", "slot").sortWithinPartitions("key", "block", "slot", "side", "node")
+
+    def pairs(batches):
+        now, own, joined = None, None, {}
+
+        def top(r):
+            while joined.get(r, r) != r:
+                r = joined[r]
+            return r
+
+        for batch in batches:
+            out = []
+            key, block_, slot, side, node, root, pos = (batch.column(i).to_numpy() for i in range(7))
+            bands = np.asarray(batch.column(7).flatten()).reshape(batch.num_rows, -1)
+            sets_ = batch.column(8)
+            for i in range(batch.num_rows):
+                if now != (key[i], block_[i], slot[i]):
+                    now, own, joined = (key[i], block_[i], slot[i]), _Held(), {}
+                mine = np.frombuffer(sets_[i].as_buffer(), np.uint64)
+                if side[i] == 0:
+                    own.add(node[i : i + 1].copy(), root[i : i + 1].copy(), bands[i : i + 1].copy(), [mine.copy()])
+                    continue
+                if not own.parts:
+                    continue
+                n0, r0, b0, values, length, first = own.arrays()
+                r = top(root[i])
+                may = np.flatnonzero((r0 != r) & (np.minimum(length, len(mine)) >= threshold * np.maximum(length, len(mine)) - 1e-9))
+                may = may[(b0[may] == bands[i]).argmax(1) == pos[i]]
+                if not len(may):
+                    continue
+                both = _shared(mine, values, first[may], length[may])
+                for j in may[both >= threshold * (length[may] + len(mine) - both)]:
+                    if r0[j] != r:  # the two classes are one from now on
+                        out.append((int(n0[j]), int(node[i])))
+                        joined[int(r0[j])] = int(r)
+                        r0[r0 == r0[j]] = r
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], names=["a", "b"])
+
+    return runs.mapInArrow(pairs, "a long, b long")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in links (a, b): root is the least node of its connected component.
 
@@ -341,53 +303,53 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: int = ROWS, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id, node (number of its text), class_id (least id of the class) and kept.
+    """One row per input row: id, node and twin (two 64-bit numbers of its text), class_id (least id of the class) and kept.
 
-    kept marks the class's representative: of the texts with the least id, the one of least number.
-    Texts are told apart by 64-bit hashes, of which 10**9 texts hold a false pair with a chance of 3 %.
+    kept marks the class's representative: of the texts with the least id, the one of least number. Of unlike texts
+    with one ``node`` (3e10 texts hold some 24 such pairs) only those with the least ``twin`` are looked for copies;
+    the others are classes of equal texts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("node"), text.alias("__text"))
-    made = written(signatures(base, "__text", ("__id", "node"), k, rows, size), "signatures")
-    nodes = made.groupBy("node").agg(F.min("__id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = nodes.withColumn("root", F.col("node"))
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        owners = made.groupBy("node").agg(F.min("__id").alias("least")).join(used, "node", "left_semi")
-        same = base["__id"].eqNullSafe(owners["least"]) & (base["node"] == owners["node"])
-        texts = base.join(owners, same, "left_semi").select("node", F.col("__text").alias("text"))
-        return written(checked_links(pairs, texts, threshold, size), "links")
-
-    # first each run's star; then, where runs are crowded, more pairs of what is still apart
-    star = written(candidate_pairs(nodes, near=1, spread=0), "pairs")
-    links = links_of(star.where("a <> b"))
-    roots = components(links)
-    crowd = nodes.drop("root").join(star.where("a = b").select(F.col("a").alias("node")), "node", "left_semi")
-    crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = written(candidate_pairs(with_finer(crowd)).where("a <> b"), "pairs")
-    links = links_of(more).select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    base = df.select(F.col(id_col).alias("__id"), *numbers(text, "node", "twin"), text.alias("__text"))
+    made = written(signatures(base, "__text", ("__id", "node", "twin"), k, rows, size), "signatures")
+    nodes = made.groupBy("node").agg(F.min("twin").alias("twin"), F.min_by("bands", "twin").alias("bands"), F.min_by("__id", F.struct("twin", "__id")).alias("owner"))
+    nodes = written(nodes, "nodes")
+    shared = shared_keys(nodes)
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("n"), F.col("twin").alias("t"), "owner", "bands")
+    same = (base["node"] == F.col("n")) & (base["twin"] == F.col("t")) & base["__id"].eqNullSafe(F.col("owner"))
+    texts = base.join(wanted, same).select("node", "bands", F.col("__text").alias("text"))
+    sets = written(shingle_sets(texts, size).dropDuplicates(["node"]), "shingles")
+    links = written(checked_links(star_pairs(shared), sets, threshold), "links").select("a", "b")
     roots = components(links)
-    # last, all that crowded runs still hold apart and that has not been checked
-    apart = crowd.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = written(rest_pairs(apart).join(star.union(more), ["a", "b"], "left_anti"), "rest")
+    rest = written(run_links(shared, roots, sets, threshold), "rest")
     if not rest.isEmpty():
-        links = links_of(rest).select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
-    placed = made.groupBy("node").agg(F.min("__id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        roots = components(rest.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    # a text that is not its node's stands for itself, with its equals
+    main = made.join(nodes.select("node", F.col("twin").alias("first")), "node").join(roots, "node", "left")
+    own = F.col("twin") == F.col("first")
+    placed = main.select("__id", "node", "twin", F.when(own, F.coalesce("root", "node")).otherwise(F.col("node")).alias("root"), F.when(~own, F.col("twin")).alias("apart"))
+    placed = written(placed, "placed")
     # nulls rank last: a class has a null id only if all its ids are null
-    named = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "node")).alias("first"))
-    placed = placed.join(named, "root").select("node", F.col("first.least").alias("class_id"), (F.col("node") == F.col("first.node")).alias("__first"))
-    return made.select("__id", "node").join(placed, "node").select(F.col("__id").alias(id_col), "node", "class_id", (F.col("__first") & F.col("__id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    named = placed.groupBy("root", "apart").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("node").alias("node"), F.col("twin").alias("twin"))).alias("first"))
+    named = written(named.select(F.col("root").alias("of"), F.col("apart").alias("of_apart"), "first"), "classes")
+    met = placed.join(named, (F.col("root") == F.col("of")) & F.col("apart").eqNullSafe(F.col("of_apart")))
+    kept = F.col("__id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")) & (F.col("twin") == F.col("first.twin"))
+    return met.select(F.col("__id").alias(id_col), "node", "twin", F.col("first.id").alias("class_id"), kept.alias("kept"))
+
+
+def numbers(text: Column, node: str, twin: str) -> tuple[Column, Column]:
+    """Two independent 64-bit numbers of a text."""
+    return F.xxhash64(text).alias(node), F.xxhash64(F.lit("twin"), text).alias(twin)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that represent their class, whole; a row repeated with id and text stays once."""
-    node, own, own_node = free_names(df, "__node", "__own", "__own_node")
-    found = near_duplicates(df.select(id_col, text_col), id_col, text_col).where("kept").select(F.col(id_col).alias(own), F.col("node").alias(own_node)).distinct()
-    rows = df.withColumn(node, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = (F.col(node) == F.col(own_node)) & F.col(id_col).eqNullSafe(F.col(own))
-    return rows.join(found, same, "left_semi").dropDuplicates([id_col, node]).drop(node)
+    node, twin, own, own_node, own_twin = free_names(df, "__node", "__twin", "__own", "__own_node", "__own_twin")
+    found = near_duplicates(df.select(id_col, text_col), id_col, text_col).where("kept")
+    found = found.select(F.col(id_col).alias(own), F.col("node").alias(own_node), F.col("twin").alias(own_twin)).distinct()
+    rows = df.select("*", *numbers(F.coalesce(F.col(text_col).cast("string"), F.lit("")), node, twin))
+    same = (F.col(node) == F.col(own_node)) & (F.col(twin) == F.col(own_twin)) & F.col(id_col).eqNullSafe(F.col(own))
+    return rows.join(found, same, "left_semi").dropDuplicates([id_col, node, twin]).drop(node, twin)
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

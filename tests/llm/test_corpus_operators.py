@@ -183,6 +183,29 @@ def test_a_crowded_run_compares_all_that_is_apart(spark):
     assert {frozenset(v) for v in classes.values()} == expected
 
 
+def test_classes_do_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    words = line(rng, 150).split()
+    rows = []
+    for i in range(300):
+        copy = list(words)
+        for j in rng.sample(range(150), rng.randrange(1, 12)):
+            copy[j] = f"q{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    expected = exact_classes(rows)
+    assert 1 < len(expected) < 290
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (4, 51, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            classes = defaultdict(set)
+            for r in minhash.near_duplicates(table(spark, rows).repartition(3)).collect():
+                classes[r.class_id].add(r.doc_id)
+            assert {frozenset(v) for v in classes.values()} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_one_of_each_keeps_whole_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (2, "a b c d e f"), (None, None), (7, None)]
     got = minhash.one_of_each(table(spark, rows)).collect()
