@@ -2,38 +2,66 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where the session names none (tests), a folder of its own."""
+    """The folder named by spark.checkpoint.dir. A local session without one (tests) gets a folder of its own; on a
+    cluster that would be a folder which other machines do not see, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="conspectus-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Sets a session option for the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it again.
 
-    Executors lost later cost no recomputation of what stands before. The files stay until the folder's owner
-    clears it, as later plans may read them.
+    Executors lost later cost no recomputation of what stands before; the shuffle files of the write go with its end.
+    The table stays until ``forget`` or until the folder's owner clears it, as later plans may read it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    now = int(spark.conf.get(BATCH, "10000"))
     if not 0 < now <= rows:
-        spark.conf.set(key, str(rows))
+        spark.conf.set(BATCH, str(rows))
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -7,6 +7,7 @@ of a text; only the resulting token arrays (8 bytes a token) do.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,9 @@ import pyarrow as pa
 PIECE = 1 << 19
 SLICE = 1 << 21
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_rng = np.random.Generator(np.random.PCG64(20240501))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# two primes under 2**31 with a base each: hashes are pairs of polynomials over prime fields
+_FIELDS = ((2147483647, 1103527590), (2147483629, 754974721))
+_LONGEST = 1 << 22  # sums of 2**22 terms of 40 bits stay exact
 
 # separators are the characters of [\x20\x09-\x0D]
 WORDS = np.ones(256, np.uint8)
@@ -42,15 +42,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64, cache: dict = {}) -> np.ndarray:  # noqa: B006
-    key = int(base)
+def _powers(n: int, field: int, inverse: bool, cache: dict = {}) -> np.ndarray:  # noqa: B006
+    """Powers 0 to n - 1 of a field's base, or of its inverse."""
+    key = (field, inverse)
     if key not in cache or len(cache[key]) < n:
-        p = np.full(max(n, PIECE * 2), base, np.uint64)
-        p[0] = 1
-        cache[key] = np.multiply.accumulate(p)
+        prime, base = _FIELDS[field]
+        base = pow(base, -1, prime) if inverse else base
+        out, size, want = np.ones(1, np.uint64), 1, max(n, PIECE * 2)
+        while size < want:
+            out = np.concatenate([out, out * np.uint64(pow(base, size, prime)) % np.uint64(prime)])
+            size *= 2
+        cache[key] = out
     return cache[key][:n]
 
 
+def _polynomials(values: np.ndarray, first: np.ndarray, end: np.ndarray, field: int) -> np.ndarray:
+    """Polynomial of values[first:end] for each pair, over one prime field; the values are under 2**9."""
+    prime = np.uint64(_FIELDS[field][0])
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(len(values), field, False), out=total[1:])
+    return (total[end] - total[first]) % prime * _powers(len(values), field, True)[first] % prime
+
+
+def stretches(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches hashes[first:end]; equal sequences have equal ones, wherever they stand."""
+    out = (end - first).astype(np.uint64)
+    for field, (prime, _) in enumerate(_FIELDS):
+        n = np.uint64(prime)
+        terms = (mix(hashes + np.uint64(field)) >> np.uint64(33)) * _powers(len(hashes), field, False) % n
+        total = np.r_[np.uint64(0), np.cumsum(terms)]
+        out = mix(out) + (total[end] - total[first]) % n * _powers(len(hashes) + 1, field, True)[first] % n
+    return mix(out)
+
+
 def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) of an Arrow string column; null counts as empty. bounds has one entry more than rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,7 +104,7 @@ def slices(bounds: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
 def tokenise(raw: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the maximal runs of one non-zero class, within each text.
 
-    Equal byte sequences have equal 64-bit hashes, whichever text they stand in.
+    Equal byte sequences have equal hashes, whichever text they stand in: 62 bits over two prime fields, mixed.
     """
     starts, ends, hashes = [], [], []
     first = np.zeros(len(raw) + 1, bool)
@@ -103,9 +127,10 @@ def tokenise(raw: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np
         s, e = edges[:-1], edges[1:]
         keep = kind[s] != 0
         s, e = s[keep], e[keep]
-        c = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[raw[a:b]] * _powers(b - a, _MULT), out=c[1:])
-        h = (c[e] - c[s]) * _powers(b - a, _INV)[s]
+        values = raw[a:b].astype(np.uint64) + np.uint64(1)
+        h = (_polynomials(values, s, e, 0) << np.uint64(31)) + _polynomials(values, s, e, 1)
+        for i in np.flatnonzero(e - s > _LONGEST):
+            h[i] = int.from_bytes(hashlib.blake2b(raw[a + s[i] : a + e[i]].tobytes(), digest_size=8).digest(), "big")
         starts.append(s + a)
         ends.append(e + a)
         hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))

@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from conspectus.llm import line_dedup, minhash, mixing, packing, queries, warc
+from conspectus.llm import line_dedup, minhash, mixing, packing, queries, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -90,6 +91,57 @@ def test_passages_inside_lines_go(spark):
     }
 
 
+def test_fingerprints_alone_feed_the_join(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(line(rng, 12) for _ in range(40))) for i in range(20)]
+    rows.append((30, rows[4][1]))
+    base = table(spark, rows).selectExpr("doc_id as __id", "xxhash64(text) as __node", "text as __text")
+    marks = line_dedup.fingerprints(base)
+    lines = marks.where("not words")
+    per_text = lines.count() / len(rows)
+    raw, bounds = tokens.string_bytes(pa.array([rows[0][1]]))
+    assert per_text < len(line_dedup.line_windows(raw, bounds)["first"]) / 2  # windows are no rows here
+    hits = line_dedup.repeated_marks(lines)
+    assert {r["__id"] for r in hits.select("__id").distinct().collect()} == {4, 30}
+    runs = line_dedup.repeated_lines(base, hits.select("__id", "__node", "at")).collect()
+    assert {j for r in runs for j in range(r["first"], r["last"] + 1)} == set(range(40)) and {r["__id"] for r in runs} == {30}
+    assert line_dedup.repeated_lines(base, hits.limit(0).select("__id", "__node", "at")).count() == 0  # no fingerprints, no runs
+
+
+def brute_words(rows, least):
+    """Words of each (id, text) that lie in a stretch of ``least`` words that occurs earlier (ids rise, no overlap)."""
+    first, out = {}, {}
+    for i, text in rows:
+        words = text.split()
+        gone = set()
+        for a in range(len(words) - least + 1):
+            own = first.setdefault(tuple(words[a : a + least]), (i, a))
+            if own[0] != i or a - own[1] >= least:
+                gone |= set(range(a, a + least))
+        out[i] = [w for j, w in enumerate(words) if j not in gone]
+    return out
+
+
+def test_word_passages_equal_brute_force(spark):
+    rng = random.Random(21)
+    pool = [line(rng, n) for n in (50, 51, 54, 80, 49, 200)]
+    rows = []
+    for i in range(40):
+        own = [line(rng, rng.randrange(1, 40)) for _ in range(4)]
+        own[rng.randrange(4)] += " " + pool[i % 6] + " " + line(rng, 5)
+        rows.append((i, "\n".join(own)))
+    rows.append((50, " ".join([pool[3], pool[3], pool[3], pool[2]])))
+    got = {r.doc_id: r.text.split() for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_words(rows, 50)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    rng = random.Random(31)
+    text = "\n".join(line(rng, 15) for _ in range(12000))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, [(1, text), (2, "x\n" + text[700_000:900_000]), (3, "a " * 600_000)])).collect()}
+    assert len(text) > 10**6 and got[1] == text and len(got[2]) < 300 and got[3].split() == ["a"] * 50
+
+
 def test_repeated_rows_of_one_document_keep_the_same_lines(spark):
     text = "\n".join(" ".join(f"a{i}.{j}" for j in range(30)) for i in range(4))
     got = line_dedup.dedup_lines(table(spark, [(1, text), (1, text), (2, text)])).collect()
