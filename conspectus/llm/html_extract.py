@@ -1,24 +1,31 @@
 """Main text of web pages by two passes of block rules.
 
 Pass 1 cuts a page into blocks at block-level tags and classifies each by length, density of stop words and of
-linked characters: good, bad, or ambiguous (short, or near the limits). Pass 2 gives ambiguous blocks the label of
-their nearest decided neighbours, before and after, within the same region; where the two differ, a good neighbour
-wins for near-good blocks and a bad one for short ones. Page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts, styles) is recognised by its element, role, class or id and is bad from the
-start; it decides no neighbour. A heading goes with the block that follows. Where a page has no good block its near-good
-ones are taken for good. A page whose words match no list of stop words is in another language: its blocks are
-classified by length and links alone. A region that the page itself names as its article or main part carries its own evidence: blocks there are
-bad only for their links, and if none is decided the region is good.
+linked characters, on the evidence of where it stands: good, bad, or ambiguous (near or short). Pass 2 gives each
+ambiguous block the label of its nearest decided neighbours, before and after, within the same region; where the two
+differ, a good neighbour wins for near blocks and a bad one for short ones. A region that is good or bad itself counts
+as a third neighbour.
+
+Evidence: elements and roles of page furniture (menus, headers, footers, sidebars, forms, scripts, styles) are
+furniture, which is dropped and decides no neighbour. Classes and ids of furniture (notices, adverts, comments and so
+on) make furniture of what is in an article, or in a page that names none; elsewhere such a block is short at best. In
+a region that the page names as its article or main part, no block is bad for its links or for few stop
+words: it is ambiguous, and the region itself is good. What stands outside such a region must be good by the rules,
+since the region around it is bad. In a page without one all is one region, good where nothing is decided; its near
+blocks are taken for good if it has no good one; a heading goes with the block that follows. A page whose words
+match no list of stop words is in another language: its blocks are classified by length and links alone.
 
 Defined results: null, empty or textless pages give the empty text; unclosed and cut-off tags end at the end of the
-page; character references are decoded once; white space inside a block is one space, blocks are joined by a newline;
-pages are read whole, whatever their length; other columns are not read; an empty table gives an empty result.
+page, or at the next block for elements whose end tag may be left out; character references are decoded once; white
+space inside a block is one space, blocks are joined by a newline; pages are read whole, whatever their length; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,10 +56,18 @@ FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo related share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
+# words that may stand beside those of furniture in a name
+PLAIN_WORDS = frozenset(
+    "area article articles bar body bottom box block button buttons card col column container content dfp element fixed form global google group inner item items layer left link links list main module outer page panel post posts primary reader readers right row secondary section sticky site slot text thread top unit user users wrap wrapper".split()
+)
+# elements whose end tag may be left out, and those that end them
+ENDS_P = BLOCK_TAGS - frozenset("body caption head html legend optgroup option tbody td tfoot th thead title tr".split())
+ENDED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
+HOLDERS = frozenset("ul ol dl select table tbody thead tfoot article main body div section".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*|/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?:[!?]|/?[a-zA-Z])[^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -64,17 +79,35 @@ STOPS_HIGH = 0.25
 LINKS = 0.35
 
 
-class _Region:
-    __slots__ = ("tag", "bad", "main", "number")
+class Block(NamedTuple):
+    text: str
+    linked: float  # share of linked characters
+    furniture: bool
+    named: bool  # a class or id of furniture
+    region: int  # 0 outside a named main part
+    heading: bool
+
+
+class _Element(NamedTuple):
+    tag: str
+    furniture: bool
+    named: bool
+    region: int
 
-    def __init__(self, tag, bad, main, number):
-        self.tag, self.bad, self.main, self.number = tag, bad, main, number
 
+def furniture_name(value: str) -> bool:
+    """Whether a class or id names page furniture: one of its names has words of furniture and plain ones only."""
+    for name in value.split():
+        words = {w.lower() for w in _PARTS.findall(name) if not w.isdigit()} - PLAIN_WORDS
+        if words and words <= FURNITURE_WORDS:
+            return True
+    return False
 
-def _furniture(tag: str, token: str, inside_main: bool) -> tuple[bool, bool]:
-    """(is furniture, is the main part) of an opening tag."""
+
+def _evidence(tag: str, token: str, inside_main: bool) -> tuple[bool, bool, bool]:
+    """(is furniture, is named like furniture, is the main part) of an opening tag."""
     bad = tag in FURNITURE_TAGS and not (tag == "header" and inside_main)
-    main = tag in MAIN_TAGS
+    main, named = tag in MAIN_TAGS, False
     if len(token) > len(tag) + 2:
         for m in _ATTR.finditer(token, len(tag) + 1):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -83,19 +116,20 @@ def _furniture(tag: str, token: str, inside_main: bool) -> tuple[bool, bool]:
                 main |= value.strip().lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 bad = True
-            elif name in ("class", "id"):
-                words = {w.lower() for w in _PARTS.findall(value)}
-                if (words & FURNITURE_WORDS) - ({"header"} if inside_main else set()) and tag not in ("html", "body", "article", "main"):
-                    bad = True
-                elif words & MAIN_WORDS and tag in ("div", "section", "td"):
+            elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                if inside_main and value.strip().lower() == "header":
+                    continue
+                if furniture_name(value):
+                    named = True
+                elif {w.lower() for w in _PARTS.findall(value)} & MAIN_WORDS and tag in ("div", "section", "td"):
                     main = True
-    return bad, main and not bad
+    return bad, named, main and not bad and not named
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
-    """(text, share of linked characters, is furniture, region; 0 outside a named main part, is a heading) in page order."""
-    out = []
-    stack: list[_Region] = []
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page, in page order."""
+    out: list[Block] = []
+    stack: list[_Element] = []
     text: list[str] = []
     linked = links = 0
     regions = 0
@@ -109,8 +143,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                top = stack[-1] if stack else None
-                out.append((joined, min(1.0, linked / len(joined)), bool(top and top.bad), top.number if top else 0, heading))
+                top = stack[-1] if stack else _Element("", False, False, 0)
+                out.append(Block(joined, min(1.0, linked / len(joined)), top.furniture, top.named, top.region, heading))
             text.clear()
         linked = 0
 
@@ -160,15 +194,21 @@ def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
             text.append(" ")
         if tag in VOID_TAGS:
             continue
-        top = stack[-1] if stack else None
-        bad, main = _furniture(tag, token, bool(top and top.main))
-        if bad or main or tag in BLOCK_TAGS and tag not in ("p", "li", "dt", "dd", "option", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
-            if bad or main:
-                close()
-            if main and not (top and top.main):
+        # an unclosed element ends where the next of its kind begins
+        ended = [e for e, by in ENDED_BY.items() if tag in by]
+        if ended or tag in ENDS_P:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag in ended or stack[i].tag == "p" and tag in ENDS_P:
+                    del stack[i:]
+                elif stack[i].tag in HOLDERS:
+                    break
+        top = stack[-1] if stack else _Element("", False, False, 0)
+        bad, named, main = _evidence(tag, token, top.region > 0)
+        if bad or named or main or tag in BLOCK_TAGS and tag not in ("p", "li", "dt", "dd", "option", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
+            close()
+            if main and not top.region:
                 regions += 1
-            inside = main or bool(top and top.main)
-            stack.append(_Region(tag, bad or bool(top and top.bad), inside, regions if main and not (top and top.main) else (top.number if top else 0)))
+            stack.append(_Element(tag, bad or top.furniture, named or top.named, regions if main and not top.region else top.region))
     close()
     return out
 
@@ -179,71 +219,65 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
-def other_language(found: list[tuple[str, float, bool, int, bool]], low=STOPS_LOW) -> bool:
+def other_language(found: list[Block], low=STOPS_LOW) -> bool:
     """Whether what is no furniture has words, but too few stop words of any language."""
-    text = " ".join(b[0] for b in found if not b[2])
+    text = " ".join(b.text for b in found if not b.furniture and not b.named)
     return _WORD.search(text) is not None and stop_density(text) < low
 
 
-def first_pass(block: tuple[str, float, bool, int, bool], other=False, short=SHORT, long=LONG, low=STOPS_LOW, high=STOPS_HIGH, links=LINKS) -> str:
-    """good, bad, near, short or furniture; ``other``: the page is in a language without stop words here."""
-    text, linked, furniture, region, _ = block
-    if furniture:
+def first_pass(block: Block, other=False, elsewhere=False, short=SHORT, long=LONG, low=STOPS_LOW, high=STOPS_HIGH, links=LINKS) -> str:
+    """good, bad, near, short or furniture.
+
+    ``other``: the page is in a language without stop words here; ``elsewhere``: it names a main part, so that names
+    of furniture outside decide nothing.
+    """
+    text, inside = block.text, block.region > 0
+    if block.furniture or block.named and (inside or not elsewhere):
         return "furniture"
-    if linked > links and len(text) >= 2:
-        return "bad"
-    if not region and text[:1] == "©":
+    if block.linked > links and len(text) >= 2:
+        return "near" if inside else "bad"
+    if not inside and text[:1] == "©":
         return "bad"
     if len(text) < short:
-        return "short" if not linked or region else "bad"
+        return "short" if not block.linked or inside else "bad"
     density = high if other else stop_density(text)
+    if block.named:
+        return "short" if density >= low else "bad"
     if density >= high:
         return "good" if len(text) > long else "near"
-    if density >= low or region:
-        return "near"
-    return "bad"
+    return "near" if density >= low or inside else "bad"
 
 
 def second_pass(labels: list[str], regions: list[int], headings: list[bool]) -> list[bool]:
-    """Whether each block is main text. Furniture between two blocks of a region does not part them."""
-    if "good" not in labels:
+    """Whether each block is main text."""
+    named = any(r and label != "furniture" for r, label in zip(regions, labels, strict=True))
+    if "good" not in labels and not named:
         labels = ["good" if label == "near" and not heading else label for label, heading in zip(labels, headings, strict=True)]
     keep = [label == "good" for label in labels]
     by_region: dict[int, list[int]] = {}
     for i, r in enumerate(regions):
-        by_region.setdefault(r, []).append(i)
+        if labels[i] != "furniture":
+            by_region.setdefault(r, []).append(i)
     for region, own in by_region.items():
-        decided = [labels[i] in ("good", "bad") and not (region and labels[i] == "bad") for i in own]
-        before: list = [None] * len(own)
-        after: list = [None] * len(own)
-        last = None
-        for n, i in enumerate(own):
-            before[n] = last
-            if decided[n]:
-                last = labels[i]
+        outside = named and not region  # itself bad; past the last neighbour of another region all is good
+        before: list[str | None] = []
         last = None
-        for n in range(len(own) - 1, -1, -1):
-            after[n] = last
-            if decided[n]:
-                last = labels[own[n]]
-        for n, i in enumerate(own):
-            if labels[i] not in ("near", "short"):
-                continue
-            b, a = before[n], after[n]
-            if b is None and a is None:
-                keep[i] = True
-            elif region:
-                keep[i] = True
-            elif labels[i] == "near":
-                keep[i] = "good" in (a, b) or None in (a, b)
-            else:
-                keep[i] = (b or a) == "good" and (a or b) == "good"
+        for i in own:
+            before.append(last)
+            last = labels[i] if labels[i] in ("good", "bad") else last
+        after = last = None
         follows = None
-        for i in reversed(own):
-            if headings[i] and labels[i] in ("near", "short") and not region and follows is not None:
-                keep[i] = follows
-            elif labels[i] != "furniture":
-                follows = keep[i]
+        for n in range(len(own) - 1, -1, -1):
+            i, after = own[n], last
+            last = labels[i] if labels[i] in ("good", "bad") else last
+            if labels[i] in ("near", "short"):
+                sides = {before[n], after} - {None}
+                sides |= {"good"} if region else {"bad"} if outside else set()  # the region's own evidence
+                sides = sides or {"good"}
+                keep[i] = "good" in sides if labels[i] == "near" or region else "bad" not in sides
+                if headings[i] and not region and not outside and follows is not None:
+                    keep[i] = follows
+            follows = keep[i]
     return keep
 
 
@@ -252,13 +286,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    regions = [b[3] for b in found]
     other = other_language(found)
-    labels = [first_pass(b, other) for b in found]
-    if any(r and label not in ("bad", "furniture") for r, label in zip(regions, labels, strict=True)):
-        labels = [label if r else "furniture" for r, label in zip(regions, labels, strict=True)]
-    keep = second_pass(labels, regions, [b[4] for b in found])
-    return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    elsewhere = any(b.region and not b.furniture and not b.named for b in found)
+    labels = [first_pass(b, other, elsewhere) for b in found]
+    keep = second_pass(labels, [b.region for b in found], [b.heading for b in found])
+    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -189,6 +189,94 @@ def test_html_in_a_language_without_stop_words():
         assert html_extract.main_text(page).split("\n") == [long[:12].strip(), long.strip(), long[:90].strip()]
 
 
+def test_html_drops_nothing_else_in_an_article():
+    prose = "This is a sentence of the text that is in the page and has many of the words that are so common in it."
+    for body, expected in (
+        ('<h2><a href="/x">A heading that is a link of the article</a></h2>', ["A heading that is a link of the article"]),
+        (f'<p><a href="/x">{prose}</a> x</p>', [f"{prose} x"]),
+        ('<p title="the hidden valley">A valley.</p>', ["A valley."]),
+        ('<div data-class="comment">A div.</div>', ["A div."]),
+        ('<p class="ad">Buy this<p>The next paragraph.', ["The next paragraph."]),
+        ('<ul><li class="ad">Buy this<li>The next item</ul>', ["The next item"]),
+        ('<div class="share-price-table">Prices</div>', ["Prices"]),
+        ('<p>zzxq 7741 %%% qqv</p><div class="reader-comments"><p>I like it.</p></div>', ["zzxq 7741 %%% qqv"]),
+        ('<p hidden>Unseen</p><div style="display: none">Unseen</div><p>Seen</p>', ["Seen"]),
+    ):
+        page = f"<nav><a href=1>Menu</a></nav><div class=ad>Ad of the day</div><article><p>First.</p>{body}</article><footer>f</footer>"
+        assert html_extract.main_text(page).split("\n") == ["First.", *expected], body
+
+
+def test_html_outside_an_article_needs_the_rules():
+    prose = ("This is a sentence of the text that is in the page and has many of the words that are so common in it. " * 3).strip()
+    page = f"<p>Teaser of it</p><div>{prose}</div><div class='ad'>{prose}</div><article><p>Body.</p></article>"
+    assert html_extract.main_text(page).split("\n") == [prose, "Body."]
+
+
+def test_html_stop_words_decide(monkeypatch):
+    prose = ("This is a sentence of the text that is in the page and has many of the words that are so common in it. " * 3).strip()
+    list_ = ("Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau. " * 3).strip()
+    page = f"<body><p>{prose}</p><div>{list_}</div><p>{prose}</p></body>"
+    assert html_extract.main_text(page).split("\n") == [prose, prose]
+    monkeypatch.setattr(html_extract, "stop_density", lambda text: 1.0)
+    assert html_extract.main_text(page).split("\n") == [prose, list_, prose]
+
+
+def plain_second_pass(labels, regions, headings):
+    named = any(r for r, x in zip(regions, labels) if x != "furniture")
+    if not named and "good" not in labels:
+        labels = ["good" if x == "near" and not h else x for x, h in zip(labels, headings)]
+    keep = [False] * len(labels)
+    for i in reversed(range(len(labels))):
+        if labels[i] in ("good", "bad", "furniture"):
+            keep[i] = labels[i] == "good"
+            continue
+        if regions[i]:
+            keep[i] = True
+            continue
+        found = []
+        for way in (range(i - 1, -1, -1), range(i + 1, len(labels))):
+            found += [labels[j] for j in way if regions[j] == 0 and labels[j] in ("good", "bad")][:1]
+        found += ["bad"] if named else []
+        keep[i] = not found or ("good" in found if labels[i] == "near" else "bad" not in found)
+        after = next((j for j in range(i + 1, len(labels)) if regions[j] == 0 and labels[j] != "furniture"), None)
+        if headings[i] and not named and after is not None:
+            keep[i] = keep[after]
+    return keep
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["good", "bad", "near", "short", "furniture"]), st.sampled_from([0, 0, 0, 1, 2]), st.booleans()), max_size=14))
+def test_html_second_pass_equals_brute_force(found):
+    labels, regions, headings = ([x[i] for x in found] for i in range(3))
+    assert html_extract.second_pass(labels, regions, headings) == plain_second_pass(labels, regions, headings)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("the of and to is xq zz vv ab cd".split()), max_size=70), st.floats(0, 1), st.booleans(), st.booleans(), st.sampled_from([0, 1]), st.booleans(), st.booleans())
+def test_html_first_pass_equals_brute_force(words, linked, furniture, named, region, other, elsewhere):
+    text = " ".join(words)
+    share = sum(w in html_extract.STOP_WORDS["en"].split() for w in words) / max(1, len(words))
+    share = max(share, html_extract.stop_density(text))  # another language may have more of them
+    if furniture or named and (region or not elsewhere):
+        expected = "furniture"
+    elif linked > html_extract.LINKS and len(text) > 1:
+        expected = "near" if region else "bad"
+    elif len(text) < html_extract.SHORT:
+        expected = "short" if region or not linked else "bad"
+    elif named:
+        expected = "short" if other or share >= html_extract.STOPS_LOW else "bad"
+    elif other or share >= html_extract.STOPS_HIGH:
+        expected = "good" if len(text) > html_extract.LONG else "near"
+    else:
+        expected = "near" if region or other or share >= html_extract.STOPS_LOW else "bad"
+    assert html_extract.first_pass(html_extract.Block(text, linked, furniture, named, region, False), other, elsewhere) == expected
+
+
+def test_html_of_a_very_long_page():
+    page = "<article>" + "<p>A line of the text.</p>" * 60_000 + "</article>"
+    assert len(page) > 10**6 and html_extract.main_text(page).count("\n") == 59_999
+
+
 def test_html_odd_input():
     for page in ("<", "<p", "a < b", "<p>a<", "<!--", "<script>", "</p></div>", "<a><a><a>", "&#x0;&bogus;", "<p>" * 3000 + "x"):
         html_extract.main_text(page)
