@@ -6,11 +6,13 @@ it fills best. If none has room, the length with the least cost per token it can
 expects the piece and what else is still to be placed, at most its capacity; so lengths are chosen jointly, and the
 last bins are small. In the end each bin shrinks to the least permitted length that holds its contents.
 
-Documents are dealt to shards by hash and each shard is packed by one task; only ids and sizes travel, and a shard
-wastes less than a few bins. Longer documents than the greatest length are cut into pieces of that length and a rest.
+Rows are dealt evenly to shards by their number in a written table of ids and sizes, so that rows of one id, or
+without one, are spread too; each shard is packed by one task. Only ids and sizes travel, and a shard wastes less than
+a few bins. Longer documents than the greatest length are cut into pieces of that length and a rest.
 
 Defined results: every token of every row is in exactly one bin; a row without words (null or empty text) gets one
-row with no bin; repeated rows are packed each for itself; an empty table gives an empty result.
+row with no bin; repeated rows are packed each for itself; ids keep their type and value, nulls too; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 WORD = r"[^\x20\x09-\x0D]+"
 SHARD_ROWS = 20_000
@@ -38,7 +42,6 @@ def pack(sizes: list[int], lengths=LENGTHS, price=cost) -> tuple[list[int], list
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     bin_of, offset = [0] * len(sizes), [0] * len(sizes)
     filled: list[int] = []
-    capacity: list[int] = []
     room: list[tuple[int, int]] = []  # (free, bin), sorted: the first that fits is the best
     left = sum(sizes)
     for i in order:
@@ -48,10 +51,9 @@ def pack(sizes: list[int], lengths=LENGTHS, price=cost) -> tuple[list[int], list
             free, b = room.pop(at)
         else:
             can = [c for c in lengths if c >= size]
-            c = min(can, key=lambda c: (price(c) / min(c, left), -c))
-            b, free = len(filled), c
+            free = min(can, key=lambda c: (price(c) / min(c, left), -c))
+            b = len(filled)
             filled.append(0)
-            capacity.append(c)
         bin_of[i], offset[i] = b, filled[b]
         filled[b] += size
         if free > size:
@@ -63,14 +65,17 @@ def pack(sizes: list[int], lengths=LENGTHS, price=cost) -> tuple[list[int], list
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths=LENGTHS, shard_rows: int = SHARD_ROWS, size_col: str | None = None) -> DataFrame:
     """Placements: id, piece, start (its first token in the document), n_tokens, bin_id, capacity, offset."""
     size = F.col(size_col).cast("long") if size_col else F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    shards = max(1, -(-df.count() // shard_rows))
-    narrow = df.select(F.col(id_col).alias("doc"), size.alias("size")).withColumn("shard", F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(shards)))
+    # written, so that a row keeps its number if its task runs again
+    narrow = written(df.select(F.col(id_col).alias("doc"), size.alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    shards = max(1, -(-narrow.count() // shard_rows))
+    dealt = narrow.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     kind = df.schema[id_col].dataType.simpleString()
     top = max(lengths)
+    names = [id_col, "piece", "start", "n_tokens", "bin_id", "capacity", "offset"]
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc", "size"], kind="stable")
-        n = rows["size"].to_numpy()
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending"), ("row", "ascending")])
+        n = rows.column("size").to_numpy()
         pieces = np.maximum(1, -(-n // top))
         row = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -78,17 +83,15 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tokens = np.minimum(top, n[row] - start)
         real = np.flatnonzero(tokens > 0)
         bins, offsets, capacity = pack(tokens[real].tolist(), lengths)
-        out = pd.DataFrame({id_col: rows["doc"].to_numpy()[row], "piece": piece, "start": start, "n_tokens": tokens})
-        name = np.full(len(row), None, object)
-        name[real] = [f"{rows['shard'].iloc[0]}-{b}" for b in bins]
-        out["bin_id"] = name
-        for column, values in (("capacity", [capacity[b] for b in bins]), ("offset", offsets)):
-            full = pd.array([None] * len(row), dtype="Int64")
-            full[real] = values
-            out[column] = full
-        return out
-
-    return narrow.groupBy("shard").applyInPandas(place, f"`{id_col}` {kind}, piece long, start long, n_tokens long, bin_id string, capacity long, offset long")
+        bin_of, offset, none = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.ones(len(row), bool)
+        bin_of[real], offset[real], none[real] = bins, offsets, False
+        shard = rows.column("shard")[0].as_py()
+        label = pa.array([None if no else f"{shard}-{b}" for b, no in zip(bin_of.tolist(), none.tolist(), strict=True)], pa.string())
+        wide = np.array([*capacity, 0], np.int64)[bin_of]
+        columns = [rows.column("doc").take(pa.array(row)), *map(pa.array, (piece, start, tokens)), label, pa.array(wide, mask=none), pa.array(offset, mask=none)]
+        return pa.table(columns, names=names)
+
+    return dealt.groupBy("shard").applyInArrow(place, f"`{id_col}` {kind}, piece long, start long, n_tokens long, bin_id string, capacity long, offset long")
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
