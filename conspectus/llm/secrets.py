@@ -11,7 +11,8 @@ Fisher's method combines the three into the chance of such a token if it were ra
 token is then a discovery if its chi-squared statistic is too small for text: for text with a divergence of
 ``LAMBDA`` per symbol the statistic grows with length, so the p-value Phi((X - (K - 1 + n L)) / sqrt(2 (K - 1) + 4 n L))
 of a short token is weak however random it looks. Discoveries are controlled at the rate ``FDR`` within a text
-by the weighted Benjamini-Hochberg rule, with weights in proportion to length.
+by the weighted Benjamini-Hochberg rule, with weights in proportion to length. The rate holds within a text and not
+over a table, so that what is found in a text does not depend on the other rows it is scanned with.
 
 Defined results: a null text is an empty one; positions are in code points; a document without spans has the empty
 string; added spans do not overlap base spans; texts are scanned whole; other columns are not read; an empty
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import carried
+
 # The base patterns.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are maximal, so shorter ones need no look
@@ -43,17 +46,59 @@ FDR = 0.05
 _BLOCK = 64
 
 
-def prefix_sums(steps: Column) -> Column:
-    """Sum of the entries before each entry, by blocks, so that long arrays do not cost the square of their length."""
-    zero = F.lit(0).cast("long")
-    add = lambda a, x: a + x
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def before(values: Column, add, zero: Column) -> Column:
+    """``add`` of all the entries before each entry.
+
+    By blocks of blocks, whose totals are computed once, so that an array of n entries costs n (n / 8192 + 64) steps.
+    """
     whole = lambda part: F.aggregate(part, zero, add)
-    blocks = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda b: whole(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))))
-    before = F.transform(
-        F.sequence(F.lit(0), F.size(steps) - 1),
-        lambda i: whole(F.slice(blocks, F.lit(1), F.floor(i / _BLOCK).cast("int"))) + whole(F.slice(steps, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)),
-    )
-    return F.when(F.size(steps) > 0, before).otherwise(F.array().cast("array<bigint>"))
+
+    def cut(entries):
+        count = F.ceil(F.size(entries) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda b: whole(F.slice(entries, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def part(i):
+        return F.floor(i / _BLOCK).cast("int")
+
+    def entry(entries, blocks, tops, i):
+        top, block = part(part(i)), part(i)
+        rest = F.concat(F.slice(tops, F.lit(1), top), F.slice(blocks, top * _BLOCK + 1, block % _BLOCK), F.slice(entries, block * _BLOCK + 1, i % _BLOCK))
+        return whole(rest)
+
+    def of(entries, blocks):
+        return bound(cut(blocks), lambda tops: F.transform(F.sequence(F.lit(0), F.size(entries) - 1), lambda i: entry(entries, blocks, tops, i)))
+
+    some = bound(values, lambda entries: bound(cut(entries), lambda blocks: of(entries, blocks)))
+    return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<bigint>"))
+
+
+def prefix_sums(steps: Column) -> Column:
+    return before(steps, lambda a, x: a + x, F.lit(0).cast("long"))
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """Tokens that overlap no base span; both have start and end, and no two tokens overlap.
+
+    Both are sorted together: a token meets the greatest end of the base spans that start before its own end.
+    """
+    event = lambda at, order, end, x: F.struct(at.alias("at"), F.lit(order).alias("order"), end.alias("end"), F.when(F.lit(order == 0), x).alias("token"))
+    none = F.lit(-1).cast("long")
+    first = F.transform(tokens, lambda x: event(x["end"], 0, none, x))
+    # of the token's type, for both sides of the concatenation
+    second = lambda of: F.transform(base, lambda x: event(x["start"], 1, x["end"], of[0]["token"]))
+    events = bound(first, lambda own: F.array_sort(F.concat(own, second(own))))
+
+    def free(sorted_events):
+        ends = before(F.transform(sorted_events, lambda x: x["end"]), lambda a, x: F.greatest(a, x), none)
+        both = F.zip_with(sorted_events, ends, lambda x, e: F.struct(x["token"].alias("token"), x["order"].alias("order"), e.alias("e")))
+        return F.transform(F.filter(both, lambda x: (x["order"] == 0) & (x["e"] <= x["token"]["start"])), lambda x: x["token"])
+
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), bound(events, free)).otherwise(tokens)
 
 
 def located(df: DataFrame, text: str, kind: str, pattern: str, out: str, group: int = 0) -> DataFrame:
@@ -137,10 +182,15 @@ def discovered(tests: Column, rate: float = FDR, reject: float = REJECT) -> Colu
     """Tests whose weighted p-value passes the Benjamini-Hochberg line and that pass as random."""
     m = F.size(tests).cast("double")
     mean = F.aggregate(tests, F.lit(0.0), lambda a, x: a + x["n"]) / m
-    weighted = F.transform(tests, lambda x: F.struct((x["p"] * mean / x["n"]).alias("q"), x["start"].alias("start"), x["end"].alias("end"), x["random"].alias("random")))
-    ranked = F.transform(F.array_sort(weighted), lambda x, i: F.when(x["q"] <= (i + 1).cast("double") / m * rate, x["q"]))
-    line = F.coalesce(F.array_max(ranked), F.lit(-1.0))
-    return F.filter(weighted, lambda x: (x["q"] <= line) & (x["random"] >= reject))
+    weighted = bound(mean, lambda average: F.transform(tests, lambda x: F.struct((x["p"] * average / x["n"]).alias("q"), x["start"].alias("start"), x["end"].alias("end"), x["random"].alias("random"))))
+
+    def passed(entries):
+        count = F.size(entries).cast("double")
+        ranked = F.transform(F.array_sort(entries), lambda x, i: F.when(x["q"] <= (i + 1).cast("double") / count * rate, x["q"]))
+        line = F.coalesce(F.array_max(ranked), F.lit(-1.0))
+        return bound(line, lambda most: F.filter(entries, lambda x: (x["q"] <= most) & (x["random"] >= reject)))
+
+    return bound(weighted, passed)
 
 
 def joined(spans: Column) -> Column:
@@ -149,7 +199,8 @@ def joined(spans: Column) -> Column:
 
 def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with base (array), added (array) and all spans of each row, in order of start and kind."""
-    rows = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    columns, work, _, names = carried(df, keep, "base", "added", "spans")
+    rows = df.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     rows = located(rows, "__text", "assign", ASSIGN, "__assign", 2)
     rows = located(rows, "__text", "access", ACCESS, "__access")
     rows = located(rows, "__text", "hex", HEX, "__hex")
@@ -157,12 +208,11 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
     plain = lambda a: F.transform(a, lambda x: F.struct(*[x[n].alias(n) for n in ("start", "rank", "kind", "end")]))
     secret = F.filter("__assign", lambda x: F.char_length(x["value"]) >= 6)
     rows = rows.withColumn("__base", F.array_sort(F.concat(plain(secret), plain(F.col("__access")), plain(F.col("__hex")))))
-    apart = F.filter("__token", lambda x: ~F.exists("__base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,n:double,p:double,random:double>>")
-    rows = rows.withColumn("__apart", apart).withColumn("__tests", F.when(F.size("__apart") > 0, battery(F.col("__apart"))).otherwise(empty))
+    rows = rows.withColumn("__apart", apart(F.col("__token"), F.col("__base"))).withColumn("__tests", F.when(F.size("__apart") > 0, battery(F.col("__apart"))).otherwise(empty))
     more = F.transform(discovered(F.col("__tests")), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), F.lit("random").alias("kind"), x["end"].alias("end")))
     rows = rows.withColumn("__more", F.when(F.size("__tests") > 0, more).otherwise(F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")))
-    return rows.select(*keep, F.col("__base").alias("base"), F.col("__more").alias("added"), F.array_sort(F.concat("__base", "__more")).alias("spans"))
+    return rows.select(*work, "__base", "__more", F.array_sort(F.concat("__base", "__more"))).toDF(*names)
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
