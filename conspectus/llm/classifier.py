@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
-Training takes at most ``MAX_TRAIN`` labelled rows, those with the least hash of their id, so the model's cost
-is bounded and reruns agree; scoring covers every whole text as a sparse dot product, without a shuffle.
+Training takes at most ``MAX_TRAIN`` labelled rows, those with the least hash of their id, and of these at most
+``MAX_BYTES`` of features, so the model's cost is bounded and reruns agree; scoring covers every whole text as a sparse dot product, without a shuffle.
 
 Defined results: a null text scores as the empty one (the bias alone); rows without a label are scored too;
 null labels and labels whose document is missing teach nothing; without any label all scores are 0.5;
@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import carried, small_batches, written
 from .tokens import WORDS_AND_MARKS, mix, per_text, slices, string_bytes, tokenise
 
 BITS = 18
 MAX_TRAIN = 8192
 EPOCHS = 3
+MAX_BYTES = 1 << 28  # of features of the fitted rows
 
 
 _CASE = np.zeros(256, np.uint8)  # 1 upper, 2 digit
@@ -84,7 +85,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS,
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out, max_rows: int) -> DataFrame:
-    """Bounded sample of (hash order, label, text): the ``max_rows`` labelled ids of least hash, held-out ids left out."""
+    """(hash order, label, number of the text, text) of the ``max_rows`` labelled ids of least hash, held-out ids left out."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     picked = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"), order.alias("__order"), held_out(F.col(id_col)).alias("__held"))
@@ -92,28 +93,35 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
         .orderBy("__order", "__id", "__y")
         .limit(max_rows)
     )
-    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    # at most max_rows ids, so the broadcast is bounded; repeated ids of documents are bounded by the second limit
-    return texts.join(F.broadcast(picked), "__id").select("__order", "__id", "__y", "__text").orderBy("__order", "__id", "__y", F.xxhash64("__text")).limit(max_rows)
+    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    # at most max_rows ids, so the broadcast is bounded
+    return texts.join(F.broadcast(picked), "__id").select("__order", "__y", F.xxhash64("__text").alias("__number"), "__text", "__id")
 
 
-def fit(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from ``training_rows``: features are made in parallel and fitted by one task, as their rows are bounded."""
+def fit(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS, max_rows: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> np.ndarray:
+    """Weights from ``training_rows``: features are made where the texts are; one task fits the first ``max_rows`` of them
+    in hash order (ids may repeat among documents), as far as they stay under ``max_bytes`` together."""
 
     def hashed(batches):
         for batch in batches:
             raw, bounds = string_bytes(batch.column(3))
-            idx, values, at = features(raw, bounds, bits)
-            parts = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary()) for x in (idx, values.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts], names=["o", "y", "f", "v"])
+            for a, b in slices(bounds):
+                idx, values, at = features(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], bits)
+                parts = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary()) for x in (idx, values.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), *parts], names=["o", "y", "t", "f", "v"])
 
     def fitted(batches):
-        got = [(o, y, f, v) for batch in batches for o, y, f, v in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
-        got.sort(key=lambda r: r[:3])
-        weights = train([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), min(1, max(0, y))) for _, y, f, v in got], bits, epochs)
+        examples, size = [], 0
+        for batch in batches:  # in order
+            for y, f, v in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+                size += len(f) + len(v)
+                if size <= max_bytes:
+                    examples.append((np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), min(1, max(0, y))))
+        weights = train(examples, bits, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["w"])
 
-    made = rows.mapInArrow(hashed, "o long, y int, f binary, v binary").repartition(1).mapInArrow(fitted, "w binary").collect()
+    made = written(rows.mapInArrow(hashed, "o long, y int, t long, f binary, v binary"), "features")
+    made = made.orderBy("o", "y", "t").limit(max_rows).coalesce(1).sortWithinPartitions("o", "y", "t").mapInArrow(fitted, "w binary").collect()
     return np.frombuffer(bytes(made[0]["w"]), np.float32) if made else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -122,8 +130,8 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: tupl
     spark = df.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
-    picked = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    columns, work, schema, names = carried(df, keep, score_col)
+    picked = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
 
     def rows(batches):
         w = shared.value
@@ -134,9 +142,9 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: tupl
                 total = np.r_[0.0, np.cumsum(w[idx] * values)]
                 x = total[at[1:]] - total[at[:-1]] + 0.1 * float(w[-1])
                 p = 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(np.round(p, 9))], names=[*keep, score_col])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(np.round(p, 9))], names=[*work, "score"])
 
-    return picked.mapInArrow(rows, f"{schema}, `{score_col}` double")
+    return picked.mapInArrow(rows, f"{schema}score double").toDF(*names)
 
 
 def remainder(column):
