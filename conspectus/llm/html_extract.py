@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import carried, small_batches
 
 # Common words of the languages looked for.
 STOP_WORDS = {
@@ -296,15 +296,15 @@ def main_text(page: str | None) -> str:
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns, text and n_chars of each page; one row in, one row out, no shuffle."""
     small_batches(df.sparkSession, 256)
-    picked = df.select(*[F.col(c) for c in keep], F.col(html_col).cast("string").alias("__html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    columns, work, schema, names = carried(df, keep, "text", "n_chars")
+    picked = df.select(*columns, F.col(html_col).cast("string").alias("__html"))
 
     def rows(batches):
         for batch in batches:
             texts = [main_text(p) for p in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*work, "text", "n_chars"])
 
-    return picked.mapInArrow(rows, f"{schema}, text string, n_chars long")
+    return picked.mapInArrow(rows, f"{schema}text string, n_chars long").toDF(*names)
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

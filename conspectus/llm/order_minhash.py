@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import small_batches
+from .shared import carried, small_batches
 from .tokens import WORDS, mix, occurrence, string_bytes, text_shingles, tokenise
 
 K = 5
@@ -81,16 +81,16 @@ def fingerprint_text(entries: np.ndarray) -> str:
 def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), k: int = K, ell: int = ELL, sketches: int = SKETCHES) -> DataFrame:
     """``keep`` columns and the fingerprint of each row's whole text; no shuffle."""
     small_batches(df.sparkSession)
-    picked = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    columns, work, schema, names = carried(df, keep, "fingerprint")
+    picked = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
 
     def rows(batches):
         for batch in batches:
             raw, bounds = string_bytes(batch.column(len(keep)))
             out = [fingerprint_text(sketch(raw[bounds[i] : bounds[i + 1]].tobytes(), k, ell, sketches)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*work, "fingerprint"])
 
-    return picked.mapInArrow(rows, f"{schema}, fingerprint string")
+    return picked.mapInArrow(rows, f"{schema}fingerprint string").toDF(*names)
 
 
 def edited(text: str, following: str) -> str:

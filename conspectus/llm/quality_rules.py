@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import carried, small_batches
 from .tokens import LINES, WORDS, per_text, shingles, slices, string_bytes, tokenise
 
 # (bytes from, least ratio, greatest ratio); shorter texts have no band
@@ -121,8 +121,9 @@ def counts(raw: np.ndarray, bounds: np.ndarray, window: int = 8) -> dict[str, np
 def quality_rules(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bands=BANDS, chunk: int = CHUNK, bad_share: float = BAD_CHUNKS, level: int = 3, min_words: int = 20, max_repeat_percent: int = 30, window: int = 8) -> DataFrame:
     """``keep`` columns of each row with the columns of ``SCHEMA``; one row in, one row out, no shuffle."""
     small_batches(df.sparkSession)
-    picked = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    made = [x.split()[0] for x in SCHEMA.split(", ")]
+    columns, work, schema, names = carried(df, keep, *made)
+    picked = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
 
     def rows(batches):
         z = zstandard.ZstdCompressor(level=level)
@@ -137,9 +138,9 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 arrays = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 arrays += [pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 arrays += [pa.array(failed), pa.array([v[0] for v in found], pa.float64()), pa.array([v[1] for v in found], pa.int64()), pa.array([v[2] for v in found], pa.int64()), pa.array(verdict, pa.string()), pa.array([v == "kept" for v in verdict])]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(x.split()[0] for x in SCHEMA.split(", "))])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*work, *made])
 
-    return picked.mapInArrow(rows, f"{schema}, {SCHEMA}")
+    return picked.mapInArrow(rows, f"{schema}{SCHEMA}").toDF(*names)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -35,7 +36,7 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it again.
 
     Executors lost later cost no recomputation of what stands before; the shuffle files of the write go with its end.
@@ -44,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with setting(spark, CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -64,6 +65,15 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(BATCH, str(rows))
 
 
+def carried(df: DataFrame, keep: tuple[str, ...], *made: str) -> tuple[list[Column], list[str], str, list[str]]:
+    """For operators that carry columns along: those columns under working names, these names, their schema, and the
+    result's names: ``keep`` and the made ones, which are renamed freely if taken."""
+    work = [f"__kept_{i}" for i in range(len(keep))]
+    columns = [F.col(f"`{c}`").alias(w) for c, w in zip(keep, work, strict=True)]
+    schema = "".join(f"`{w}` {f.dataType.simpleString()}, " for w, f in zip(work, df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, strict=True))
+    return columns, work, schema, [*keep, *free_names(df.select(*[F.col(f"`{c}`") for c in keep]), *made)]
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like the wanted ones that no column of ``df`` has, whatever the case."""
     have = {c.lower() for c in df.columns}
