@@ -103,9 +103,10 @@ def test_fingerprints_alone_feed_the_join(spark, monkeypatch):
     assert per_text < len(line_dedup.line_windows(raw, bounds)["first"]) / 2  # windows are no rows here
     hits = line_dedup.repeated_marks(lines)
     assert {r["__id"] for r in hits.select("__id").distinct().collect()} == {4, 30}
-    runs = line_dedup.repeated_lines(base, hits.select("__id", "__node", "at")).collect()
+    no_parts = line_dedup.part_requests(line_dedup.repeated_marks(marks.where("words")).limit(0))
+    runs = line_dedup.later_windows(line_dedup.answers(base, line_dedup.line_requests(hits), no_parts)[0]).collect()
     assert {j for r in runs for j in range(r["first"], r["last"] + 1)} == set(range(40)) and {r["__id"] for r in runs} == {30}
-    assert line_dedup.repeated_lines(base, hits.limit(0).select("__id", "__node", "at")).count() == 0  # no fingerprints, no runs
+    assert line_dedup.answers(base, line_dedup.line_requests(hits.limit(0)), no_parts)[0].count() == 0  # no fingerprints, no windows
 
 
 def brute_words(rows, least):
@@ -347,6 +348,43 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack_documents(table(spark, rows).limit(0)).count() == 0
 
 
+def test_packing_keeps_ids_and_spreads_equal_ones(spark):
+    big = 2**53
+    rows = [(big + 1, "a b"), (big + 3, "c"), (None, "d e f")] + [(7, "w w")] * 3000 + [(None, "v")] * 2000
+    got = packing.pack_documents(table(spark, rows), shard_rows=500).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert {(r.doc_id, r.n_tokens) for r in got if r.doc_id and r.doc_id > 7} == {(big + 1, 2), (big + 3, 1)}
+    shards = Counter(r.bin_id.split("-")[0] for r in got)
+    assert len(shards) == 11 and max(shards.values()) < 700
+
+
+def plain_best_fit(sizes, lengths, price):
+    bins, left = [], sum(sizes)  # [capacity, contents]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        room = [(c - sum(sizes[j] for j in held), b) for b, (c, held) in enumerate(bins) if c - sum(sizes[j] for j in held) >= sizes[i]]
+        if room:
+            b = min(room)[1]
+        else:
+            best = min((price(c) / min(c, left), -c) for c in lengths if c >= sizes[i])
+            b = len(bins)
+            bins.append((-best[1], []))
+        bins[b][1].append(i)
+        left -= sizes[i]
+    return [(min(c for c in lengths if c >= sum(sizes[j] for j in held)), held) for _, held in bins]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pack_equals_brute_force(seed):
+    rng = random.Random(seed)
+    lengths = sorted(rng.sample(range(8, 200), 4))
+    sizes = [rng.randrange(1, lengths[-1] + 1) for _ in range(rng.randrange(1, 120))]
+    bins, offsets, capacity = packing.pack(sizes, lengths, packing.cost)
+    expected = plain_best_fit(sizes, lengths, packing.cost)
+    assert capacity == [c for c, _ in expected]
+    for b, (_, held) in enumerate(expected):
+        assert [i for i in held if bins[i] != b] == [] and [offsets[i] for i in held] == [sum(sizes[j] for j in held[:n]) for n in range(len(held))]
+
+
 def test_pack_is_best_fit_with_priced_lengths():
     bins, offsets, capacity = packing.pack([6, 5, 4, 3, 2], lengths=(4, 8, 16), price=lambda c: c)
     assert sorted(Counter(bins).values()) and sum(capacity) <= 24
@@ -380,14 +418,26 @@ def test_warc_round_trip(spark):
         fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
         assert head.startswith(b"WARC/1.1\r\n") and int(fields[b"Content-Length"]) == len(body) - 4 and body.endswith(b"\r\n\r\n")
         assert fields[b"WARC-Type"].decode() == r.record_type and (b"WARC-Refers-To" in fields) == (r.record_type == "revisit")
+        assert b"WARC-Date" in fields and (b"WARC-Profile" in fields) == (r.record_type == "revisit")
+    ids = [dict(x.split(b": ", 1) for x in bytes(r.header).split(b"\r\n\r\n")[0].split(b"\r\n")[1:])[b"WARC-Record-ID"] for r in records]
+    assert len(set(ids)) == len(PAGES)
     assert warc.read_archive(warc.write_archive(pages(spark).limit(0))).count() == 0
-    kinds = {r.record_type for r in warc.write_archive(pages(spark), least=10**6).headers.collect()}
+    kinds = {r.record_type for r in warc.read_archive(warc.write_archive(pages(spark), least=10**6)).collect()}
     assert kinds == {"response"}
 
 
+def test_warc_headers_stay_whole(spark):
+    rows = spark.createDataFrame([("a:1\r\nX: y>", "http://h/a b\r\nWARC-Type: evil\tz", "p"), ("ü", "", "q"), ("none", None, "q")], "page_id string, url string, html string")
+    got = {r.record_id: r for r in warc.read_archive(warc.write_archive(rows, date="2020-01-02T03:04:05Z")).collect()}
+    assert set(got) == {"a:1\r\nX: y>", "ü", "none"}
+    assert got["a:1\r\nX: y>"].target_uri == "http://h/a%20b%0D%0AWARC-Type:%20evil%09z" and got["none"].target_uri == "about:blank"
+    assert (got["none"].record_type, got["none"].refers_to) == ("revisit", "ü") and got["ü"].record_type == "response"
+    assert all(b"WARC-Date: 2020-01-02T03:04:05Z\r\n" in bytes(r.header) for r in got.values())
+
+
 def test_warc_notices_damage(spark):
     archive = warc.write_archive(pages(spark))
-    damaged = warc.Archive(archive.headers, archive.payloads.selectExpr("digest", "cast(concat(cast(payload as string), '!') as binary) as payload", "n_bytes", "sha1"))
+    damaged = warc.Archive(archive.headers, archive.payloads.selectExpr("digest", "cast(concat(cast(payload as string), '!') as binary) as payload", "n_bytes", "sha1"), "bigint")
     with pytest.raises(Exception, match="does not match"):
         warc.read_archive(damaged).select("record_id", "n_bytes").collect()
 

@@ -370,3 +370,141 @@ def test_secret_battery_equals_brute_force(spark):
             expected = {(s, e) for s, e, p, r, n in tests if p * mean / n <= line and r >= secrets.REJECT}
         assert {(s.start, s.end) for s in got[i].added} == expected
     assert F and T
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "; ".join(f"password=value{i:06d} xK9v2LqP8zRt5WmN3cYb7H{i:06d}" for i in range(20_000))
+    (got,) = secrets.scan(docs(spark, [(1, text)])).collect()
+    assert len(text) > 10**6 and [(s.start, s.rank, s.kind, s.end) for s in got.base] == base_spans(text)
+    found = {(s.start, s.end) for s in got.added}
+    assert len(found) > 15_000 and all(text[a - 1] == " " and b - a == 28 for a, b in found)
+
+
+def test_tokens_that_overlap_base_spans_are_left_out(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        cuts = np.sort(rng.choice(3000, 400, replace=False)).tolist()
+        spans = list(zip(cuts[::2], cuts[1::2]))
+        tokens_, base = spans[::2], [(a + int(rng.integers(-3, 3)), b + int(rng.integers(-3, 3))) for a, b in spans[::3]]
+        base = [(a, b) for a, b in base if a < b]
+        rows = spark.createDataFrame([(tokens_, base)], "t array<struct<start:bigint,end:bigint>>, b array<struct<start:bigint,end:bigint>>")
+        from pyspark.sql import functions as F
+
+        (got,) = rows.select(secrets.apart(F.col("t"), F.col("b")).alias("o")).collect()
+        assert sorted((x.start, x.end) for x in got.o) == [(a, b) for a, b in tokens_ if not any(a < d and c < b for c, d in base)]
+
+
+def test_lines_of_like_polynomials_differ():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    text = word + "\n" + word.translate(str.maketrans("ab", "ba"))
+    raw, bounds = tokens.string_bytes(pa.array([text]))
+    assert int(quality_rules.counts(raw, bounds)["n_dup_lines"][0]) == 0
+
+
+def test_clashing_names_are_carried(spark):
+    table = docs(spark).selectExpr("doc_id", "text", "'a' as score", "'b' as n_words", "'c' as fingerprint", "'d' as __text", "'e' as base", "'f' as n_chars")
+    keep = ("doc_id", "score", "n_words", "fingerprint", "__text", "base", "n_chars")
+    for found in (
+        quality_rules.quality_rules(table, keep=keep),
+        classifier.score(table, np.zeros((1 << classifier.BITS) + 1, np.float32), keep=keep),
+        order_minhash.fingerprints(table, keep=keep),
+        secrets.scan(table, keep=keep),
+        html_extract.extract(table, "text", keep),
+    ):
+        rows = found.collect()
+        assert len(set(found.columns)) == len(found.columns) and found.columns[:7] == list(keep)
+        assert {tuple(r)[1:7] for r in rows} == {tuple("abcdef")} and {r.doc_id for r in rows} == {i for i, _ in DOCS}
+
+
+def plain_features(text, bits=classifier.BITS):
+    """Counts of features by index, gram by gram."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        return int(tokens.mix(np.array([x & mask], np.uint64))[0])
+
+    def hashed(token):
+        raw, bounds = tokens.string_bytes(pa.array([token]))
+        return int(tokens.tokenise(raw, bounds, tokens.WORDS_AND_MARKS)[2][0])
+
+    found = re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+", text.encode())
+    h = [hashed(t.decode()) for t in found]
+    shape = []
+    for i, t in enumerate(found):
+        kind = [1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 0 for c in (t[0], t[-1])]
+        own = h[i] if not re.match(rb"[A-Za-z0-9\x80-\xff]", t) else mix(kind[0] * 4 + kind[1] + 77)
+        shape.append(mix(own + (0x9E3779B97F4A7C15 if i and h[i] == h[i - 1] else 0) + 5))
+    step = 0xD1342543DE82EF95
+    grams = h + shape
+    pairs = [mix(a * step + b) for a, b in zip(shape, shape[1:])]
+    grams += [mix(a * step + b) for a, b in zip(h, h[1:])] + pairs
+    grams += [mix(a * step + b) for a, b in zip(pairs, shape[2:])]
+    return Counter(g >> (64 - bits) for g in grams)
+
+
+def test_features_equal_brute_force():
+    texts = ["The cat, the CAT -- 12 cats; cats cats!", "", "one", "a b", "Grüße €5 !! Ab1 ab1 ab1"]
+    raw, bounds = tokens.string_bytes(pa.array(texts))
+    idx, values, at = classifier.features(raw, bounds)
+    for i, text in enumerate(texts):
+        expected = plain_features(text)
+        got = dict(zip(idx[at[i] : at[i + 1]].tolist(), values[at[i] : at[i + 1]].tolist()))
+        total = sum(expected.values())
+        assert got.keys() == expected.keys() and all(abs(got[k] - np.sqrt(n / total)) < 1e-9 for k, n in expected.items())
+
+
+def test_training_and_scores_equal_brute_force(spark):
+    import math
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 12)) + ("!" if i % 3 else "") for i in range(60)]
+    raw, bounds = tokens.string_bytes(pa.array(texts))
+    idx, values, at = classifier.features(raw, bounds)
+    examples = [(idx[at[i] : at[i + 1]], values[at[i] : at[i + 1]].astype(np.float32), int(i % 3 > 0)) for i in range(60)]
+    alpha, beta, l1, l2, bias = 0.5, 1.0, 0.02, 0.2, 1 << classifier.BITS
+    z, n = {}, {}
+
+    def weight(k):
+        a = z.get(k, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    for _ in range(classifier.EPOCHS):
+        for ids, xs, y in examples:
+            x = {**dict(zip(ids.tolist(), xs.tolist())), bias: 0.1}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = classifier.train(examples)
+    assert all(abs(got[k] - weight(k)) < 1e-5 for k in z) and np.count_nonzero(got) <= len(z)
+    scores = {r.doc_id: r.score for r in classifier.score(docs(spark, list(enumerate(texts))), got).collect()}
+    for i, (ids, xs, _) in enumerate(examples):
+        expected = 1 / (1 + math.exp(-(sum(weight(k) * v for k, v in zip(ids.tolist(), xs.tolist())) + 0.1 * weight(bias))))
+        assert abs(scores[i] - expected) < 1e-5
+
+
+def test_compression_verdict_equals_brute_force():
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        parts = [bytes(rng.integers(97, 97 + int(rng.choice([1, 3, 20, 26])), int(rng.integers(0, 6000))).astype(np.uint8)) for _ in range(int(rng.integers(1, 4)))]
+        data = b" ".join(parts)
+        ratio = len(data) / len(z.compress(data)) if data else 1.0
+
+        def limits(n):
+            fits = [(a, b) for start, a, b in quality_rules.BANDS if n >= start]
+            return fits[-1] if fits else (0.0, float("inf"))
+
+        chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+        ratios = [(len(c) / len(z.compress(c)), *limits(len(c))) for c in chunks]
+        over, under = sum(r > b for r, _, b in ratios), sum(r < a for r, a, _ in ratios)
+        low, high = limits(len(data))
+        verdict = "repetitive" if ratio > high or over > 0.25 * len(chunks) else "incompressible" if ratio < low or under > 0.25 * len(chunks) else "kept"
+        assert quality_rules.compression_verdict(data, z) == (ratio, over + under, len(chunks), verdict)
