@@ -36,7 +36,7 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it again.
 
     Executors lost later cost no recomputation of what stands before; the shuffle files of the write go with its end.
@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with setting(spark, CLEANUP, "true"):
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
