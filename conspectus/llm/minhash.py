@@ -155,7 +155,7 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     return texts.select("node", "bands", "text").mapInArrow(made, "node long, bands array<long>, set binary")
 
 
-def checked_links(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, each: int = 1024) -> DataFrame:
+def checked_links(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, each: int = 256) -> DataFrame:
     """Pairs (a, b, similarity) of at least ``threshold``, from pairs (a, b, n) and sets (node, set).
 
     A task streams runs of one left side: its shingles, then each partner's; it holds one left side at a time. The
@@ -214,7 +214,7 @@ def _shared(own: np.ndarray, values: np.ndarray, first: np.ndarray, length: np.n
     return np.add.reduceat((own[spot] == v).astype(np.int64), np.cumsum(length) - length)
 
 
-def run_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = 2048, slot_rows: int = 4096) -> DataFrame:
+def run_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = 1024, slot_rows: int = 1024) -> DataFrame:
     """Links (a, b) that join what runs still hold apart: every pair of a run's members with unlike roots is compared.
 
     shared: (node, pos, key, n); roots: (node, root) of linked nodes; sets: (node, bands, set). Members outside a run's
