@@ -1,8 +1,8 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Sources share the corpus's total size by weight. A source is read up to ``MOST`` times; a target over that is held
-there and its excess goes to the others by weight. Each source's documents stand in a shuffled order (md5 of the
-id), repeated pass by pass. A copy's virtual finish time is the size of its source read up to and with it, divided
+there and its excess goes to the others by weight. Each source's documents stand in a shuffled order (md5 of id,
+size and number among equal rows), repeated pass by pass. A copy's virtual finish time is the size of its source read up to and with it, divided
 by the source's target. The mix is the copies in order of finish time, cut where the running size passes the total.
 
 Virtual time is even by construction, so equal cells of it hold about equally much: the global order is taken by
@@ -51,9 +51,12 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """One row per document: doc_id, source, size, source_size, target, copies and taken (their size)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    # a leading part of a digest of the id shuffles; null ids share one
-    base = written(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sizes")
-    shares = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), most)
+    # equal rows travel as one and are told apart by a number; a leading part of a digest of id, size and number shuffles,
+    # so that rows of one id, or without one, are spread too
+    groups = written(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    numbered = groups.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    base = numbered.select("doc_id", "source", "size", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "i").cast("binary")).alias("key"))
+    shares = targets(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows")), most)
     known = shares.withColumnRenamed("source", "of_source")
     rows = base.join(known, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -70,7 +73,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     copies = copies.withColumn("open", (F.col("target") > 0) & (F.col("done") - F.col("size") < F.col("target")))
     copies = copies.withColumn("finish", F.when(F.col("open"), F.col("done") / F.col("target")))
     # closed copies, which stand apart, need no order; their cells only spread them
-    wide = F.greatest(F.lit(1), F.ceil(F.lit(base.count()) / cell_rows))
+    total_rows = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wide = F.greatest(F.lit(1), F.ceil(F.lit(total_rows) / cell_rows))
     copies = copies.withColumn("cell", F.when(F.col("open"), F.least(F.floor(F.col("finish") * wide), wide * 4)).otherwise(-1 - F.pmod(F.col("place"), wide)))
     counted = F.when(F.col("open"), F.col("size")).otherwise(0)
     sums = copies.groupBy("cell").agg(F.sum(counted).alias("cell_size"))
@@ -87,9 +91,8 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
-  FROM documents),
+  SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || row_number() OVER (PARTITION BY doc_id, source, size)) AS key
+  FROM (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents)),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM totals),
 weighed AS (SELECT *, (rank - 1) % 3 + 1 AS weight, CAST(source_size * 3 AS DOUBLE) / ((rank - 1) % 3 + 1) AS ratio,
