@@ -57,3 +57,14 @@ def structural_class(normalised: Column, is_appendix: Column | None = None) -> C
     for name, word in PREFIXES:
         out = out.when(normalised.rlike(rf"^{word}\b"), name)
     return out.when(is_appendix, "appendix") if is_appendix is not None else out
+
+
+# Text that is nothing but commands with their arguments.
+LATEX_ONLY = r"^(?:\s*\\[A-Za-z@]+\s*(?:\[[^\]]*\])?(?:\{[^{}]*\})*)+\s*$"
+
+
+def is_latex_artifact(text: Column) -> Column:
+    """Whether a text is blank, or LaTeX commands that leave under three letters."""
+    plain = F.trim(F.coalesce(text, F.lit("")))
+    letters = F.regexp_replace(F.regexp_replace(plain, r"\\[A-Za-z]+|[{}\[\]$\\]", " "), "[^A-Za-z]", "")
+    return (plain == "") | (plain.rlike(LATEX_ONLY) & (F.char_length(letters) < 3))

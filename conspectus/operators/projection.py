@@ -42,7 +42,12 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def coordinates(objects: DataFrame, concepts: DataFrame, id_col: str, vector_col: str, concept_col: str = "concept", concept_vector: str = "vector") -> DataFrame:
-    """(id, ces): the cosine of each object with every concept, concepts in order of id."""
+    """(id, ces): the cosine of each object with every concept, concepts in order of id.
+
+    A row is as long as there are concepts, so a vocabulary beyond ``MATRIX_BYTES`` is refused.
+    """
+    if not fits(concepts, concept_vector):
+        raise ValueError("too many concepts for a coordinate each; use top_k")
     _, m = _matrix(concepts, concept_col, concept_vector)
     unit = _unit_rows(m)
     picked = objects.select(id_col, V.doubles(vector_col).alias("v"))
@@ -92,14 +97,24 @@ def top_k(objects: DataFrame, concepts: DataFrame, k: int, id_col: str, vector_c
 
 
 def _top_k_blocks(objects, concepts, k, id_col, vector_col, concept_col, concept_vector, block):
-    """Concepts in blocks of rows: each object meets each block once and keeps its k best there."""
-    n = concepts.count()
-    parts = concepts.withColumn("__b", F.pmod(F.xxhash64(concept_col), F.lit(-(-n // block)))).groupBy("__b").agg(F.array_sort(F.collect_list(F.struct(F.col(concept_col).alias("c"), V.unit(V.doubles(concept_vector)).alias("v")))).alias("m"))
-    own = objects.select(id_col, V.unit(V.doubles(vector_col)).alias("__v"))
-    met = own.crossJoin(parts).select(id_col, F.slice(F.reverse(F.array_sort(F.transform("m", lambda x: F.struct(V.dot(F.col("__v"), x["v"]).alias("s"), x["c"].alias("c"))))), 1, k).alias("h"))
-    hits = met.select(id_col, F.explode("h").alias("h")).select(id_col, F.col("h.c").alias(concept_col), F.col("h.s").alias("s"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("s"), concept_col))).where(F.col("rank") <= k)
-    return ranked.select(id_col, concept_col, F.round("s", DIGITS).alias("similarity"), "rank")
+    """Concepts in blocks: each block of objects meets each of them once and keeps its k best there; of equals the least id."""
+    id_kind, concept_kind = (df.schema[c].dataType.simpleString() for df, c in ((objects, id_col), (concepts, concept_col)))
+    own = objects.select(F.col(id_col).alias("k"), F.col(vector_col).alias("v"))
+    their = concepts.select(F.col(concept_col).alias("k"), F.col(concept_vector).alias("v"))
+
+    def best(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                c_ids, ids = (batch.column(c)[r].values for c in (1, 3))
+                sims = _unit_rows(_matrix_of(batch.column(4)[r])) @ _unit_rows(_matrix_of(batch.column(2)[r])).T
+                named, width = np.asarray(c_ids), min(k, sims.shape[1])
+                order = np.lexsort((np.broadcast_to(named, sims.shape), -sims), axis=1)[:, :width]
+                take = pa.array(np.repeat(np.arange(sims.shape[0]), width))
+                yield pa.RecordBatch.from_arrays([ids.take(take), c_ids.take(pa.array(order.ravel())), pa.array(np.take_along_axis(sims, order, 1).ravel())], names=["id", "c", "s"])
+
+    hits = met_blocks(their, own, "k", "v", block).mapInArrow(best, f"id {id_kind}, c {concept_kind}, s double")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "c"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("id").alias(id_col), F.col("c").alias(concept_col), F.round("s", DIGITS).alias("similarity"), "rank")
 
 
 def confidence(hits: DataFrame, id_col: str) -> DataFrame:
@@ -111,33 +126,56 @@ def confidence(hits: DataFrame, id_col: str) -> DataFrame:
     return out.select(id_col, "best", "top1", F.round(F.col("top1") - second, DIGITS).alias("margin"), F.round(F.when(F.col("second").isNull(), 0.0).otherwise(F.col("top1") - F.col("second")), DIGITS).alias("sentence_margin"))
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, k: int, id_col: str, ces_col: str = "ces", block: int = 2048) -> DataFrame:
+def _in_blocks(rows: DataFrame, id_col: str, vector_col: str, size: int, name: str) -> DataFrame:
+    """(name, ids, vectors): rows of equal width in about equal blocks; the number of blocks is set by a count."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.select(F.col(id_col).alias("i"), V.doubles(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name))
+    packed = dealt.groupBy(name).agg(F.collect_list(F.struct("i", "v")).alias("m"))
+    return packed.select(name, F.col("m.i").alias("ids"), F.col("m.v").alias("vectors"))
+
+
+def met_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, block: int = 2048) -> DataFrame:
+    """(a, q_ids, q, ids, vectors): every block of queries beside every block of rows, for the caller to multiply.
+
+    Nothing reaches the driver but the number of blocks; a row's block is sent once for each block of queries.
+    """
+    left = _in_blocks(queries, id_col, vector_col, block, "a")
+    right = _in_blocks(rows, id_col, vector_col, block, "b")
+    every = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-queries.count() // block)) - 1))))
+    return left.select("a", F.col("ids").alias("q_ids"), F.col("vectors").alias("q")).join(every, "a").select("a", "q_ids", "q", "ids", "vectors")
+
+
+def _matrix_of(cell) -> np.ndarray:
+    """Rows of a cell of array<array<double>>."""
+    flat = cell.values.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(cell.values), -1) if len(cell.values) else np.zeros((0, 1))
+
+
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, id_col: str, ces_col: str = "ces", block: int = 2048, itself: bool = False) -> DataFrame:
     """(query, neighbour, similarity, rank): cosine of coordinate vectors, every query against all rows but itself.
 
-    Queries go out in blocks of a fixed size; a task multiplies its rows with a block and keeps the k best, which
-    are merged per query.
+    Blocks of queries meet blocks of rows as matrices; each pair of blocks keeps the k best of a query, which are
+    merged. ``itself``: ids of queries and rows are not of one kind, so that none is left out.
     """
-    found = queries.select(id_col, ces_col).orderBy(id_col).collect()
     kind = rows.schema[id_col].dataType.simpleString()
-    q_ids = np.array([r[0] for r in found])
-    q = _unit_rows(np.array([r[1] for r in found], np.float64)) if found else np.zeros((0, 1))
+    own_kind = queries.schema[id_col].dataType.simpleString()
 
     def nearest(batches):
         for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            ids = np.asarray(batch.column(0))
-            m = _unit_rows(_rows(batch.column(1)))
-            for a in range(0, len(q), block):
-                sims = q[a : a + block] @ m.T
-                sims[q_ids[a : a + block, None] == ids[None, :]] = -np.inf
+            for r in range(batch.num_rows):
+                q_ids, ids = (batch.column(c)[r].values for c in (1, 3))
+                q, m = _unit_rows(_matrix_of(batch.column(2)[r])), _unit_rows(_matrix_of(batch.column(4)[r]))
+                sims = q @ m.T
+                named = np.asarray(ids)
+                if not itself:
+                    sims[np.asarray(q_ids)[:, None] == named[None, :]] = -np.inf
                 width = min(k, sims.shape[1])
-                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :width]
+                order = np.lexsort((np.broadcast_to(named, sims.shape), -np.round(sims, 9)), axis=1)[:, :width]
                 best = np.take_along_axis(sims, order, 1)
-                ok = np.isfinite(best).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[a : a + block], width)[ok]), pa.array(ids[order].ravel()[ok]), pa.array(best.ravel()[ok])], names=["query", "neighbour", "s"])
+                ok = np.flatnonzero(np.isfinite(best).ravel())
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(q)), width)[ok])), ids.take(pa.array(order.ravel()[ok])), pa.array(best.ravel()[ok])], names=["query", "neighbour", "s"])
 
-    near = rows.select(id_col, ces_col).mapInArrow(nearest, f"query {kind}, neighbour {kind}, s double")
+    near = met_blocks(queries, rows, id_col, ces_col, block).mapInArrow(nearest, f"query {own_kind}, neighbour {kind}, s double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "neighbour"))).where(F.col("rank") <= k)
     return ranked.select("query", "neighbour", F.round("s", DIGITS).alias("similarity"), "rank")
 

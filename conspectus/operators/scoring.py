@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import coverage_curve
 
@@ -15,32 +14,35 @@ NEUTRAL = 0.5
 YEAR = 2026
 
 
-def entropy_terms(count: Column, total: Column) -> Column:
-    """One label's share of the entropy in bits."""
-    p = count / total
-    return F.when(count > 0, -p * F.log2(p)).otherwise(0.0)
+def entropy(sum_x_log_x: Column, total: Column) -> Column:
+    """Entropy in bits of counts, from their sum and that of each times its logarithm."""
+    return F.when(total > 0, F.log2(total) - sum_x_log_x / total).otherwise(0.0)
+
+
+def _xlogx(x: Column) -> Column:
+    return F.when(x > 0, x * F.log2(x)).otherwise(0.0)
 
 
 def match_metrics(matches: DataFrame, labels: DataFrame) -> DataFrame:
     """coverage, purity and information gain of each candidate.
 
-    matches is (candidate, block, label), one row a match; labels is (label, n), the blocks of each label.
+    matches is (candidate, block, label), one row a match; labels is (label, n), the blocks of each label. Labels that a
+    candidate does not meet enter through totals, so no candidate is crossed with all labels.
     """
-    total = labels.agg(F.sum("n").alias("blocks"))
-    h = labels.crossJoin(total).agg(F.sum(entropy_terms(F.col("n"), F.col("blocks"))).alias("H"))  # one row each
-    per = matches.groupBy("candidate", "label").agg(F.count("*").alias("hit"))
-    candidates = matches.select("candidate").distinct()
-    grid = candidates.join(F.broadcast(labels), how="cross").join(per, ["candidate", "label"], "left").fillna(0, ["hit"])
-    w = Window.partitionBy("candidate")
-    grid = grid.withColumn("hits", F.sum("hit").over(w)).withColumn("blocks", F.sum("n").over(w))
-    inside = F.sum(F.when(F.col("hits") > 0, entropy_terms(F.col("hit"), F.col("hits"))).otherwise(0.0))
-    rest = F.col("blocks") - F.col("hits")
-    outside = F.sum(F.when(rest > 0, entropy_terms(F.col("n") - F.col("hit"), rest)).otherwise(0.0))
-    agg = grid.groupBy("candidate").agg(F.first("hits").alias("hits"), F.first("blocks").alias("blocks"), F.max("hit").alias("top"), inside.alias("hi"), outside.alias("ho")).crossJoin(h)
+    total = labels.agg(F.sum("n").alias("blocks"), F.sum(_xlogx(F.col("n"))).alias("all"))
+    per = matches.groupBy("candidate", "label").agg(F.count("*").alias("hit")).join(labels, "label")
+    rest = F.col("n") - F.col("hit")
+    agg = per.groupBy("candidate").agg(F.sum("hit").alias("hits"), F.max("hit").alias("top"), F.sum(_xlogx(F.col("hit"))).alias("inner"), F.sum(_xlogx(rest)).alias("outer"), F.sum(_xlogx(F.col("n"))).alias("met"))
+    agg = agg.crossJoin(F.broadcast(total))  # one row
+    inside = entropy(F.col("inner"), F.col("hits"))
+    outside = entropy(F.col("outer") + F.col("all") - F.col("met"), F.col("blocks") - F.col("hits"))
+    whole = entropy(F.col("all"), F.col("blocks"))
     share = F.col("hits") / F.col("blocks")
-    conditional = share * F.col("hi") + (1 - share) * F.col("ho")
-    gain = F.when(F.col("H") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("H") - conditional) / F.col("H")))).otherwise(NEUTRAL)
-    return agg.select("candidate", F.col("hits").alias("matches"), F.round(coverage_curve(share), 6).alias("coverage"), F.round(F.when(F.col("hits") > 0, 1 - F.col("top") / F.col("hits")).otherwise(0.0), 6).alias("purity"), F.round(gain, 6).alias("information_gain"))
+    conditional = share * inside + (1 - share) * outside
+    # labels of one kind have no entropy but for rounding
+    gain = F.when(whole > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (whole - conditional) / whole))).otherwise(NEUTRAL)
+    gain = F.when((whole > 1e-9) & (F.col("hits") == F.col("blocks")), 0.0).otherwise(gain)
+    return agg.select("candidate", F.col("hits").alias("matches"), F.round(coverage_curve(share), 6).alias("coverage"), F.round(1 - F.col("top") / F.col("hits"), 6).alias("purity"), F.round(gain, 6).alias("information_gain"))
 
 
 def embedding_variance(matches: DataFrame, vector_col: str, dim: int) -> DataFrame:

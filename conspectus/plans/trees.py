@@ -49,8 +49,9 @@ def link_parents(spark, sf):
 def unit_accounting(spark, sf):
     markers, units = _sections(spark, sf)
     key = lambda df, c: df.select(F.concat_ws("/", "doc_id", c).alias("id"))
-    owned = tree.last_marker(markers, units)
-    return tree.accounting(key(_read(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id"), "turn"), key(markers, "marker_id").union(key(owned, "unit_id")))
+    owned = tree.last_marker(markers, units).where("owner is not null")
+    twice = key(markers.where("level = 1"), "marker_id")
+    return tree.accounting(key(_read(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id"), "turn"), key(markers, "marker_id").union(key(owned, "unit_id")).union(twice))
 
 
 def section_text(spark, sf):
@@ -68,7 +69,7 @@ def _edges(spark, sf):
 
 
 def descendants(spark, sf):
-    closed = tree.closure(spark, _edges(spark, sf), 10)
+    closed = tree.closure(spark, _edges(spark, sf))
     return closed.where("depth > 0").groupBy("ancestor").agg(F.count("*").alias("descendants"), F.max("depth").alias("height"))
 
 
@@ -76,26 +77,25 @@ def section_paths(spark, sf):
     region, nation, customer = (_read(spark, sf, n) for n in ("region", "nation", "customer"))
     titles = region.select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_name").alias("title"))
     titles = titles.union(nation.select(F.concat(F.lit("n"), "n_nationkey"), "n_name")).union(customer.select(F.concat(F.lit("c"), "c_custkey"), "c_name"))
-    return tree.section_paths(tree.closure(spark, _edges(spark, sf), 10), titles)
+    return tree.section_paths(tree.closure(spark, _edges(spark, sf)), titles)
 
 
 def top_level(spark, sf):
-    closed = tree.closure(spark, _edges(spark, sf), 10)
+    closed = tree.closure(spark, _edges(spark, sf))
     last = Window.partitionBy("node").orderBy(F.desc("depth"))
     return closed.withColumn("n", F.row_number().over(last)).where("n = 1").groupBy(F.col("ancestor").alias("top")).agg(F.count("*").alias("nodes"))
 
 
 def subtree_balance(spark, sf):
     """Sum over all descendants of an attribute of leaves."""
-    closed = tree.closure(spark, _edges(spark, sf), 10)
+    closed = tree.closure(spark, _edges(spark, sf))
     leaf = _read(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), "c_acctbal")
     return closed.join(leaf, "node").groupBy("ancestor").agg(F.count("*").alias("leaves"), F.round(F.sum(F.col("c_acctbal").cast("decimal(20,2)")).cast("double"), 2).alias("balance")).where("leaves > 1")
 
 
 def _supply(spark, sf):
-    """Parts of one type group under their suppliers: a graph with several parents per node."""
-    l = _read(spark, sf, "lineitem").join(_read(spark, sf, "part").where("p_size <= 5"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
-    return l.select(F.col("l_suppkey").alias("parent"), F.col("l_partkey").alias("child")).distinct()
+    """Parts under their suppliers: a graph with several parents per node."""
+    return _read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("parent"), F.col("l_partkey").alias("child")).distinct()
 
 
 def sibling_scores(spark, sf):
@@ -128,12 +128,12 @@ edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM
 nodes AS (SELECT parent AS node FROM edges UNION SELECT child FROM edges),
 walk AS (SELECT node AS ancestor, node, 0 AS depth FROM nodes UNION ALL SELECT w.ancestor, e.child, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node)
 """
-_SUPPLY = "e AS (SELECT DISTINCT l_suppkey AS parent, l_partkey AS child FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 5)"
+_SUPPLY = "e AS (SELECT DISTINCT l_suppkey AS parent, l_partkey AS child FROM lineitem)"
 _SIBLING = f"""{_SUPPLY},
 own AS (SELECT child, count(*) AS own FROM e GROUP BY child), size AS (SELECT parent, count(*) AS size FROM e GROUP BY parent),
-shared AS (SELECT a.child, b.child AS other, count(*) AS common FROM e a JOIN e b ON a.parent = b.parent AND a.child <> b.child GROUP BY 1, 2),
-summed AS (SELECT e.parent, e.child, sum(common) AS common FROM e JOIN e o ON o.parent = e.parent AND o.child <> e.child JOIN shared s ON s.child = e.child AND s.other = o.child GROUP BY 1, 2),
-scores AS (SELECT e.parent, e.child, size - 1 AS siblings, round(CASE WHEN size = 1 THEN 1.0 ELSE coalesce(common, 0) / own / (size - 1) END, 6) AS sibscore FROM e JOIN own USING (child) JOIN size USING (parent) LEFT JOIN summed USING (parent, child))
+common AS (SELECT a.parent AS p, b.parent AS q, count(*) AS n FROM e a JOIN e b USING (child) GROUP BY 1, 2),
+summed AS (SELECT e.parent, e.child, sum(n - 1) AS shared FROM e JOIN e o USING (child) JOIN common ON p = e.parent AND q = o.parent GROUP BY 1, 2),
+scores AS (SELECT parent, child, size - 1 AS siblings, round(CASE WHEN size = 1 THEN 1.0 ELSE shared / own / (size - 1) END, 6) AS sibscore FROM summed JOIN own USING (child) JOIN size USING (parent))
 """
 _SHAPE = "nn AS (SELECT parent AS n FROM {0} UNION SELECT child FROM {0}), pp AS (SELECT n, (SELECT count(*) FROM (SELECT DISTINCT parent, child FROM {0}) x WHERE x.child = n) AS p FROM nn) SELECT count(*) AS nodes, count(*) FILTER (WHERE p = 0) AS roots, count(*) FILTER (WHERE p > 1) AS shared, count(*) FILTER (WHERE p > 1) = 0 AS is_tree FROM pp"
 
@@ -144,7 +144,11 @@ ORACLE_SQL = {
     "span_extents": f"WITH {_SECTIONS} SELECT doc_id, marker_id, level, lead(flow_index) OVER (PARTITION BY doc_id ORDER BY flow_index) AS until FROM markers",
     "link_parents": f"""WITH {_SECTIONS}, r AS (SELECT *, sum(CASE WHEN app <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY flow_index) AS run FROM (SELECT *, lag(app) OVER (PARTITION BY doc_id ORDER BY flow_index) AS prev FROM markers))
       SELECT a.doc_id, a.marker_id, a.level, (SELECT max(b.marker_id) FROM r b WHERE b.doc_id = a.doc_id AND b.run = a.run AND b.flow_index < a.flow_index AND b.level < a.level) AS parent FROM r a""",
-    "unit_accounting": "SELECT count(*) AS inputs, CAST(0 AS BIGINT) AS unaccounted, CAST(0 AS BIGINT) AS double_counted, CAST(0 AS BIGINT) AS unknown FROM conversations",
+    "unit_accounting": f"""WITH {_SECTIONS}, o AS (SELECT doc_id, flow_index FROM markers UNION ALL SELECT doc_id, flow_index FROM markers WHERE level = 1
+      UNION ALL SELECT u.doc_id, u.flow_index FROM units u WHERE EXISTS (SELECT 1 FROM markers m WHERE m.doc_id = u.doc_id AND m.flow_index <= u.flow_index)),
+      n AS (SELECT doc_id, flow_index, count(*) AS n FROM o GROUP BY ALL)
+      SELECT count(c.doc_id) AS inputs, count(*) FILTER (WHERE n IS NULL) AS unaccounted, count(*) FILTER (WHERE c.doc_id IS NOT NULL AND n > 1) AS double_counted, count(*) FILTER (WHERE c.doc_id IS NULL) AS unknown
+      FROM (SELECT DISTINCT doc_id, flow_index FROM c) c FULL JOIN n ON n.doc_id = c.doc_id AND n.flow_index = c.flow_index""",
     "section_text": f"WITH {_SECTIONS}, o AS (SELECT u.*, (SELECT max(m.marker_id) FROM markers m WHERE m.doc_id = u.doc_id AND m.flow_index <= u.flow_index) AS owner FROM units u) SELECT doc_id, owner, md5(string_agg(text, chr(10) || chr(10) ORDER BY flow_index)) AS md5 FROM o WHERE owner IS NOT NULL GROUP BY doc_id, owner",
     "descendants": f"WITH RECURSIVE {_TREE} SELECT ancestor, count(*) AS descendants, max(depth) AS height FROM walk WHERE depth > 0 GROUP BY ancestor",
     "section_paths": f"WITH RECURSIVE {_TREE}, titles AS (SELECT 'r' || r_regionkey AS node, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, c_name FROM customer) SELECT w.node, string_agg(t.title, ' > ' ORDER BY w.depth DESC) AS path FROM walk w JOIN titles t ON t.node = w.ancestor GROUP BY w.node",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import vectors as V
-from ..operators import basis, graph, projection, scoring, selection
+from ..operators import basis, graph, projection, scoring, selection, space
 
 DIM = 64
 
@@ -20,7 +20,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, con
 """
 _PAIRS = """
 u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
-pairs AS (SELECT a.label = b.label AS within, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id)
+pairs AS (SELECT a.label = b.label AS within, round(list_dot_product(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 100 <> 0 OR a.vec_id < b.vec_id))
 """
 
 
@@ -62,24 +62,27 @@ def shared_concepts(spark, sf):
     return near.join(q, "query").join(n, "neighbour").select("query", "neighbour", F.array_join(F.array_intersect("nh", "qh").cast("array<string>"), ",").alias("shared"))
 
 
+def _counts(spark, sf):
+    return basis.pair_counts(_vectors(spark, sf), "vec_id", "label", "embedding")
+
+
 def cosine_profile(spark, sf):
-    return basis.profile(basis.pair_similarities(_vectors(spark, sf), "vec_id", "label", "embedding"))
+    """Cosines of the vectors whose id is divisible by 100 with all others."""
+    return basis.profile(_counts(spark, sf))
 
 
 def calibrate_tau(spark, sf):
-    return basis.calibrate(basis.pair_similarities(_vectors(spark, sf), "vec_id", "label", "embedding"))
+    return basis.calibrate(_counts(spark, sf))
 
 
 def tau_fraction_sweep(spark, sf):
-    pairs = basis.pair_similarities(_vectors(spark, sf), "vec_id", "label", "embedding")
     taus = (0.1, 0.2, 0.25, 0.3, 0.4)
-    agg = pairs.agg(F.count("*").alias("n"), *[F.count_if(F.col("s") >= t).alias(f"c{i}") for i, t in enumerate(taus)])
+    agg = _counts(spark, sf).agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("s") >= t, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, t in enumerate(taus)])
     return agg.select("n", F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.col(f"c{i}").alias("at_least")) for i, t in enumerate(taus)])).alias("x")).select("x.tau", "x.at_least", F.round(F.col("x.at_least") / F.col("n"), 6).alias("fraction"))
 
 
 def near_parallel(spark, sf):
-    pairs = basis.pair_similarities(_vectors(spark, sf), "vec_id", "label", "embedding")
-    return pairs.where(F.abs("s") >= 0.3).groupBy("within").agg(F.count("*").alias("pairs"), F.round(F.max(F.abs("s")), 6).alias("greatest"))
+    return _counts(spark, sf).where(F.abs("s") >= 0.3).groupBy("within").agg(F.sum("n").alias("pairs"), F.round(F.max(F.abs("s")), 6).alias("greatest"))
 
 
 def ces_gravity(spark, sf):
@@ -98,10 +101,9 @@ def nearest_class_accuracy(spark, sf):
 
 def projection_stats(spark, sf):
     c = project_margin(spark, sf)
-    n = F.count("*")
-    # upper median: entry n // 2 of the sorted values
-    upper = lambda x: F.get(F.array_sort(F.collect_list(x)), F.floor(n / 2).cast("int"))
-    return c.agg(n.alias("n"), F.min("top1").alias("top1_min"), upper("top1").alias("top1_median"), F.max("top1").alias("top1_max"), upper("margin").alias("margin_median"), F.count_distinct("best").alias("concepts_used"))
+    # upper median: entry n // 2 of the rising values, which is the discrete median of the falling ones
+    upper = lambda x: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
+    return c.agg(F.count("*").alias("n"), F.min("top1").alias("top1_min"), upper("top1").alias("top1_median"), F.max("top1").alias("top1_max"), upper("margin").alias("margin_median"), F.count_distinct("best").alias("concepts_used"))
 
 
 def metric_matches(spark, sf, theta=0.2):
@@ -163,23 +165,33 @@ def pca_layout(spark, sf):
 
 
 def refine_space(spark, sf):
-    """Refinement over labels as parents of their vectors' ids modulo 7, contexts summed by the executors."""
-    import numpy as np
-
-    v = _vectors(spark, sf).select("vec_id", "label", V.doubles("embedding").alias("v"))
-    total = v.agg(V.mean_vector(F.col("v"), DIM).alias("m"), F.count("*").alias("n")).first()
-    tops = {f"L{r['concept']}": np.array(r["vector"]) for r in _concepts(spark, sf).collect()}
-    low = v.groupBy("label", (F.col("vec_id") % 7).alias("part")).agg(V.mean_vector(F.col("v"), DIM).alias("m")).collect()
-    children: dict = {}
-    for r in sorted(low, key=lambda r: (r["label"], r["part"])):
-        name = f"L{r['label']}.{r['part']}"
-        tops[name] = np.array(r["m"])
-        children.setdefault(f"L{r['label']}", []).append(name)
-    out = graph.refine(children, np.array(total["m"]) * total["n"], tops, sorted(children), 30)
+    """Refinement over labels as parents of their vectors' ids modulo 7; all vectors are contexts."""
+    v = _vectors(spark, sf).select("vec_id", "label", V.doubles("embedding").alias("vector"))
+    low = v.groupBy("label", (F.col("vec_id") % 7).alias("part")).agg(V.mean_vector(F.col("vector"), DIM).alias("vector"))
+    child = F.concat_ws(".", F.concat(F.lit("L"), "label"), "part")
+    edges = low.select(F.concat(F.lit("L"), "label").alias("parent"), child.alias("child"), F.col("part").alias("ord"))
+    vectors = _concepts(spark, sf).select(F.concat(F.lit("L"), "concept").alias("concept"), "vector").union(low.select(child, "vector"))
+    table = graph.expansion_table(edges, vectors, v.select("vector"), DIM)
+    start = [r["parent"] for r in edges.select("parent").distinct().orderBy("parent").collect()]  # ten labels
+    out = graph.refine(table, start, 30)
     return spark.createDataFrame([(i, pick, round(w, 6), ",".join(added), size) for i, (pick, w, added, size) in enumerate(out.steps)], "step int, expanded string, weight double, added string, size int")
 
 
-QUERIES = {f.__name__: f for f in (project_topk, project_margin, project_full_ces, query_neighbours_ces, shared_concepts, cosine_profile, calibrate_tau, tau_fraction_sweep, near_parallel, ces_gravity, nearest_class_accuracy, projection_stats, match_metrics, embedding_variance, quality_score, content_ids, basis_version, basis_fold, basis_stats, basis_tau_sweep, select_diverse, pca_layout, refine_space)}
+def quality_metrics(spark, sf):
+    """Coverage, purity and gain by matrices, a document being a label modulo 2: each group's centroids against its vectors."""
+    v = _vectors(spark, sf).select((F.col("label") % 2).cast("string").alias("doc_id"), "label", (F.col("label") % 4).cast("string").alias("section"), V.unit(V.doubles("embedding")).alias("vector"))
+    own = _concepts(spark, sf).select((F.col("concept") % 2).cast("string").alias("doc_id"), F.col("concept").cast("string").alias("key"), "vector")
+    return space.block_metrics(own, v.select("doc_id", F.col("section").alias("label"), "vector"), 0.2)
+
+
+def document_hits(spark, sf):
+    """The two best concepts of each vector in the space of its own document (label modulo 2)."""
+    v = _vectors(spark, sf).select((F.col("label") % 2).cast("string").alias("doc_id"), "vec_id", V.unit(V.doubles("embedding")).alias("vector"))
+    c = _concepts(spark, sf).select((F.col("concept") % 2).cast("string").alias("doc_id"), F.col("concept").alias("position"), F.concat(F.lit("id"), "concept").alias("concept_id"), F.concat(F.lit("c"), "concept").alias("name"), "vector")
+    return space.best_concepts(v, c, 2, "vec_id").select("doc_id", "vec_id", F.inline("hits"))
+
+
+QUERIES = {f.__name__: f for f in (project_topk, project_margin, project_full_ces, query_neighbours_ces, shared_concepts, cosine_profile, calibrate_tau, tau_fraction_sweep, near_parallel, ces_gravity, nearest_class_accuracy, projection_stats, match_metrics, embedding_variance, quality_score, content_ids, basis_version, basis_fold, basis_stats, basis_tau_sweep, select_diverse, pca_layout, refine_space, quality_metrics, document_hits)}
 
 _MARGIN = """
 two AS (SELECT vec_id, max(CASE WHEN rank = 1 THEN concept END) AS best, max(CASE WHEN rank = 1 THEN round(s, 6) END) AS top1, max(CASE WHEN rank = 2 THEN round(s, 6) END) AS second FROM ranked WHERE rank <= 2 GROUP BY vec_id),
@@ -224,4 +236,32 @@ ORACLE_SQL = {
     "quality_score": f"WITH {_CENTROIDS}, {_METRICS} SELECT candidate, round(0.3 * 0.25 + coverage * 0.2 + purity * 0.1 + information_gain * 0.15 + embedding_variance * 0.1 + 0.05 + 0.05, 6) AS score FROM mm JOIN ev USING (candidate)",
     "content_ids": f"SELECT vec_id, 'cpt_' || substr({_HASH.format(chr(39) + 'document' + chr(39) + ', ' + chr(39) + 'heading' + chr(39) + ', n')}, 1, 12) AS concept_id, 'row_' || substr({_HASH.format('CAST(label AS VARCHAR), n')}, 1, 12) AS row_id, substr({_HASH.format(chr(39) + 'v1' + chr(39) + ', raw')}, 1, 16) AS query_id FROM (SELECT *, 'concept ' || vec_id AS n, ' Concept  ' || vec_id AS raw FROM embeddings)",
     "basis_version": f"SELECT substr(sha256(string_agg(rid, chr(31) ORDER BY label, n, rid)), 1, 16) AS basis_version, CAST(count(*) AS INTEGER) AS n_rows FROM (SELECT label, 'concept ' || vec_id AS n, 'row_' || substr({_HASH.format('CAST(label AS VARCHAR), ' + chr(39) + 'concept ' + chr(39) + ' || vec_id')}, 1, 12) AS rid FROM embeddings)",
+    "refine_space": f"""WITH RECURSIVE {_CENTROIDS},
+      lows AS (SELECT label, vec_id % 7 AS part, i, avg(v[i]) AS x FROM dims, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+      vectors AS (SELECT 'L' || concept AS id, CAST(NULL AS VARCHAR) AS parent, 0 AS part, vector FROM concepts UNION ALL
+        SELECT 'L' || label || '.' || part, 'L' || label, part, list(x ORDER BY i) FROM lows GROUP BY label, part),
+      total AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, sum(v[i]) AS x FROM dims, (SELECT unnest(range(1, 65)) AS i) GROUP BY i)),
+      weighed AS (SELECT id, parent, part, list_dot_product(vector, t) AS w FROM vectors, total),
+      -- every node has one parent, so siblings share one parent each and rank by part; leaves never open
+      kids AS (SELECT parent AS id, list(id ORDER BY part) AS c FROM weighed WHERE parent IS NOT NULL GROUP BY parent),
+      opened AS (SELECT row_number() OVER (ORDER BY w DESC, id DESC) - 1 AS step, id, w, c[1:CAST(ceil(0.5 * len(c)) AS BIGINT)] AS added FROM weighed JOIN kids USING (id)),
+      sized AS (SELECT *, (SELECT count(*) FROM kids) + sum(len(added)) OVER (ORDER BY step) AS size FROM opened)
+      SELECT CAST(step AS INTEGER) AS step, id AS expanded, round(w, 6) AS weight, list_aggregate(added, 'string_agg', ',') AS added, CAST(size AS INTEGER) AS size FROM sized WHERE size - len(added) < 30""",
+    "quality_metrics": f"""WITH {_CENTROIDS},
+      hits AS (SELECT CAST(c.concept % 2 AS VARCHAR) AS doc_id, CAST(c.concept AS VARCHAR) AS key, s.vec_id, s.label % 4 AS section FROM concepts c LEFT JOIN sims s ON s.concept = c.concept AND s.label % 2 = c.concept % 2 AND s.s > 0.2),
+      labels_ AS (SELECT CAST(label % 2 AS VARCHAR) AS doc_id, label % 4 AS section, count(*) AS n FROM embeddings GROUP BY ALL),
+      docs AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS nn, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM labels_ GROUP BY doc_id),
+      grid AS (SELECT k.doc_id, k.key, l.section, l.n, count(h.vec_id) AS hit FROM (SELECT DISTINCT doc_id, key FROM hits) k JOIN labels_ l ON l.doc_id = k.doc_id LEFT JOIN hits h ON h.key = k.key AND h.section = l.section GROUP BY ALL),
+      tot AS (SELECT doc_id, key, CAST(sum(hit) AS DOUBLE) AS hits FROM grid GROUP BY ALL),
+      agg AS (SELECT g.doc_id, g.key, any_value(t.hits) AS hits, any_value(d.nn) AS nn, any_value(d.h) AS h, max(g.hit) AS top,
+        sum(CASE WHEN hit > 0 THEN -(hit / t.hits) * log2(hit / t.hits) ELSE 0 END) AS hi, sum(CASE WHEN n > hit THEN -((n - hit) / (d.nn - t.hits)) * log2((n - hit) / (d.nn - t.hits)) ELSE 0 END) AS ho
+        FROM grid g JOIN tot t USING (doc_id, key) JOIN docs d ON d.doc_id = g.doc_id GROUP BY g.doc_id, g.key),
+      units AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM dims),
+      var_ AS (SELECT key, i, var_pop(u.v[i]) AS x, count(*) AS n FROM hits JOIN units u USING (vec_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY key, i),
+      spread AS (SELECT key, CASE WHEN max(n) < 2 THEN 0.5 ELSE greatest(0, least(1, 1 - sum(x) / 2)) END AS ev FROM var_ GROUP BY key)
+      SELECT doc_id, key, CAST(hits AS BIGINT) AS matches, round(CASE WHEN f <= 0.01 THEN 0.1 WHEN f < 0.2 THEN 0.1 + (f - 0.01) * 0.9 / 0.19 WHEN f <= 0.4 THEN 1.0 WHEN f < 0.9 THEN 1.0 - (f - 0.4) * 0.7 / 0.5 ELSE 0.3 END, 6) AS coverage,
+        round(CASE WHEN hits > 0 THEN 1 - top / hits ELSE 0 END, 6) AS purity, round(CASE WHEN hits = 0 OR hits = nn THEN 0 ELSE greatest(0, least(1, (h - (f * hi + (1 - f) * ho)) / h)) END, 6) AS information_gain, round(coalesce(ev, 0.5), 6) AS embedding_variance
+      FROM (SELECT *, hits / nn AS f FROM agg) LEFT JOIN spread USING (key)""",
+    "document_hits": f"""WITH {_CENTROIDS}, r AS (SELECT CAST(label % 2 AS VARCHAR) AS doc_id, vec_id, concept, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, concept) AS rank FROM sims WHERE label % 2 = concept % 2)
+      SELECT doc_id, vec_id, CAST(rank AS INTEGER) AS rank, 'id' || concept AS concept_id, 'c' || concept AS name, round(s, 6) AS similarity FROM r WHERE rank <= 2""",
 }

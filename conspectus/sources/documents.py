@@ -41,6 +41,37 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("json"))
 
 
+CODE = ("code", "sourcecode", "listing", "algorithm")
+
+
+def load(spark: SparkSession, path: str) -> Corpus:
+    """Documents of both kinds at a path, each read by its own reader."""
+    files = read_files(spark, path)
+    known = is_object_model(F.col("json"))
+    a, b = generic(files.where(~known)), objects(files.where(known))
+    both = lambda name: getattr(a, name).unionByName(getattr(b, name))
+    return Corpus(*[both(n) for n in ("blocks", "sections", "bibliography", "skipped")])
+
+
+def blocks_of_type(corpus: Corpus, *kinds: str) -> DataFrame:
+    return corpus.blocks.where(F.lower("type").isin([k.lower() for k in kinds]))
+
+
+def full_text(corpus: Corpus, prose: tuple[str, ...]) -> DataFrame:
+    """(doc_id, text): a document's prose, parted by empty lines."""
+    rows = blocks_of_type(corpus, *prose).where(F.trim("text") != "")
+    return rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text")))["text"], "\n\n").alias("text"))
+
+
+def sections_in_order(corpus: Corpus) -> DataFrame:
+    """Sections with ``place``, by level and id."""
+    return corpus.sections.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("level", "section_id")) - 1)
+
+
+def section(corpus: Corpus, section_id: str) -> DataFrame:
+    return corpus.sections.where(F.col("section_id") == section_id)
+
+
 def is_object_model(json: Column) -> Column:
     """Whether the first of ``objects`` has a type and props."""
     first = F.get(F.from_json(json, OBJECTS)["objects"], F.lit(0))

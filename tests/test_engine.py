@@ -105,10 +105,23 @@ def test_sibling_scores(spark):
     assert got[("p", "c")] == 0.75 and got[("r", "only")] == 1.0
 
 
-def test_refinement_adds_half_of_the_children_and_stops():
-    v = {c: np.array([1.0, 0.0]) for c in ("a", "a1", "a2", "a3")}
-    out = graph.refine({"a": ["a1", "a2", "a3"]}, np.array([[1.0, 0.0]]), v, ["a"], 10)
-    assert out.concepts == ["a", "a1", "a2"] and out.stopped.endswith("(all leaves)")
+def test_refinement_adds_half_of_the_children_and_stops(spark):
+    edges = spark.createDataFrame([("a", "a1", 0), ("a", "a2", 1), ("a", "a3", 2), ("b", "b1", 0)], "parent string, child string, ord int")
+    vectors = spark.createDataFrame([(c, [x, 0.0]) for c, x in (("a", 1.0), ("a1", 0.5), ("a2", 0.4), ("a3", 0.9), ("b", 1.0), ("b1", 2.0))], "concept string, vector array<double>")
+    contexts = spark.createDataFrame([([1.0, 0.0],), ([1.0, 1.0],)], "vector array<double>")
+    table = graph.expansion_table(edges, vectors, contexts, 2)
+    out = graph.refine(table, ["a"], 10)
+    assert out.concepts == ["a", "a1", "a2"] and out.stopped.endswith("(all leaves)") and out.steps == [("a", 2.0, ("a1", "a2"), 3)]
+    both = graph.refine(table, ["a", "b"], 3)
+    assert both.concepts == ["a", "b", "b1"] and both.stopped == "reached target size"  # of equals the greatest id first
+    assert graph.refine(table, ["a"], 10, drop_parent=True).concepts == ["a1", "a2"]
+    assert graph.refine(table, [], 3).stopped == "no starting concepts" and graph.refine(table, ["a"], 3, rounds=0).stopped == "iteration limit reached"
+    pure = graph.refine(table, ["a", "b"], 3, purity=lambda space: {"a": -1.0, "b": -9.0}, blend=0.5)
+    assert pure.steps[0][:2] == ("a", 0.5)
+    with pytest.raises(ValueError):
+        graph.refine(table, ["a"], 3, most=2)
+    own = graph.purities(spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0, 0.1], "y"), (3, [0.0, 1.0], "x")], "context int, vector array<double>, label string"), spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0])], "concept string, vector array<double>"), "label")
+    assert {r.concept: r.purity for r in own.collect()} == {"p": -1.0, "q": 0.0}
 
 
 def test_diverse_selection(spark):
@@ -133,9 +146,21 @@ def test_candidates_merge_and_absorb(spark):
     assert {r.name for r in candidates.absorb(phrases).collect()} == {"deep hashing", "deep hashing code"}
 
 
-def test_sentences():
-    assert sentences.split_sentences("See Fig. 3 for it. Shown by A. Smith et al. The next holds. Value 0.85 is low.") == ["See Fig. 3 for it.", "Shown by A. Smith et al.", "The next holds.", "Value 0.85 is low."]
-    assert sentences.split_sentences("One line\n\nother line") == ["One line", "other line"] and sentences.split_sentences(None) == []
+SENTENCES = [
+    ("See Fig. 3 for it. Shown by A. Smith et al. The next holds. Value 0.85 is low.", ["See Fig. 3 for it.", "Shown by A. Smith et al.", "The next holds.", "Value 0.85 is low."]),
+    ("One line\n\nother line", ["One line", "other line"]),
+    (None, []),
+    ('He said "Stop!" Then e.g. Bob (cf. Eve) left.  "Why?" (2 did.) So it was vs. The rest... And 3. Then', ['He said "Stop!', "Then e.g. Bob (cf. Eve) left.", '"Why?', "(2 did.", "So it was vs. The rest...", "And 3. Then"]),
+    ("? Yes. It is. x", ["? Yes.", "It is. x"]),
+    ("see i.e. The one. etc. The last", ["see i.e. The one. etc.", "The last"]),
+]
+
+
+def test_sentences(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SENTENCES)], "i int, t string")
+    got = {r.i: r.s for r in rows.select("i", sentences.sentences(F.col("t")).alias("s")).collect()}
+    for i, (_, want) in enumerate(SENTENCES):
+        assert got[i] == want
 
 
 def test_sanitising():

@@ -59,16 +59,21 @@ def test_source_of_a_reading(spark):
         (None, None, ""),
     ],
 )
-def test_basis_text(raw, title, want):
-    got, _, problems = latex.clean_basis(raw, title)
-    assert (got, problems) == (want, [])
+def test_basis_text(spark, raw, title, want):
+    rows = spark.createDataFrame([(raw, title)], "t string, h string")
+    (got,) = [r[0] for r in latex.with_basis_text(rows, "t", "h").select("basis").collect()]
+    assert (got.text, got.problems) == (want, [])
 
 
 def test_basis_text_reports_rules_and_problems(spark):
-    rows = spark.createDataFrame([(r"\cite{a} \emph{b}", ""), (None, None)], "t string, h string")
-    got = [r[0] for r in rows.select(latex.basis_text("t", "h")).collect()]
+    rows = spark.createDataFrame([(r"\cite{a} \emph{b}", ""), (None, None), ("Fine  Method: of it", "fine METHOD")], "t string, h string")
+    got = [r[0] for r in latex.with_basis_text(rows, "t", "h").select("basis").collect()]
     assert got[0].rules == ["collapse-whitespace", "drop-command:cite", "unwrap-command:emph"] and got[1].text == ""
-    assert latex.basis_problems(r"1. \x", "") == ["character", "command", "ordinal"] and latex.basis_problems("Method of", "method") == ["title"]
+    assert got[2].text == "of it" and "strip-leading-title:normalized" in got[2].rules
+    shown = [r[0] for r in latex.with_basis_text(rows.withColumn("g", F.lit("2. Head")), "t", "g", True).select("basis").collect()]
+    assert shown[2].text == "Head. Fine Method: of it" and "prepend-title" in shown[2].rules
+    found = spark.createDataFrame([(r"1. \x", ""), ("Method of", "method"), (None, "")], "t string, h string").select(latex.basis_problems(F.col("t"), F.col("h"))).collect()
+    assert [r[0] for r in found] == [["character", "command", "ordinal"], ["title"], ["none"]]
 
 
 def test_sanitising_keeps_lines():
