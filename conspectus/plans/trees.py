@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import graph, tree
+from ..operators import graph, markers, tree
 
 
 def _read(spark, sf, name):
@@ -115,7 +115,33 @@ def tree_shape(spark, sf):
     return graph.shape(_edges(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (asof_inclusive, asof_exclusive, preamble, span_extents, link_parents, unit_accounting, section_text, descendants, section_paths, top_level, subtree_balance, sibling_scores, children_ranked, graph_shape, tree_shape)}
+def _built(spark, sf):
+    """Conversations as typed objects: user turns are sections, the others paragraphs that name the section of turn 0."""
+    c = _read(spark, sf, "conversations")
+    user = F.col("role") == "user"
+    props = F.create_map(
+        F.when(user, "title").otherwise("text"), F.col("text"), F.lit("level"), (F.col("turn") % 4 + 1).cast("string"), F.lit("flow_index"), F.col("turn").cast("string"),
+        F.lit("is_appendix"), (user & (F.col("turn") >= 6)).cast("string"), F.lit("parent_section"), F.lit("t0"),
+    )
+    made = c.select(F.col("conv_id").cast("string").alias("doc_id"), "turn", F.struct(F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.when(user, "Section").otherwise("Paragraph").alias("type"), props.alias("props")).alias("o"))
+    files = made.groupBy("doc_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.to_json("o").alias("o")))), lambda x: F.from_json(x["o"], "id string, type string, props map<string,string>")).alias("objects"))).alias("json"))
+    return markers.build_tree(files)
+
+
+def tree_from_objects(spark, sf):
+    """Owner of every unit of trees that are read from typed objects."""
+    return _built(spark, sf).units.select("doc_id", "unit_id", "marker_id", "moved")
+
+
+def tree_stats(spark, sf):
+    return _built(spark, sf).stats()
+
+
+def tree_depths(spark, sf):
+    return _built(spark, sf).depth()
+
+
+QUERIES = {f.__name__: f for f in (tree_from_objects, tree_stats, tree_depths, asof_inclusive, asof_exclusive, preamble, span_extents, link_parents, unit_accounting, section_text, descendants, section_paths, top_level, subtree_balance, sibling_scores, children_ranked, graph_shape, tree_shape)}
 
 _SECTIONS = """
 c AS (SELECT conv_id AS doc_id, turn AS flow_index, role, text FROM conversations),
@@ -137,7 +163,20 @@ scores AS (SELECT parent, child, size - 1 AS siblings, round(CASE WHEN size = 1
 """
 _SHAPE = "nn AS (SELECT parent AS n FROM {0} UNION SELECT child FROM {0}), pp AS (SELECT n, (SELECT count(*) FROM (SELECT DISTINCT parent, child FROM {0}) x WHERE x.child = n) AS p FROM nn) SELECT count(*) AS nodes, count(*) FILTER (WHERE p = 0) AS roots, count(*) FILTER (WHERE p > 1) AS shared, count(*) FILTER (WHERE p > 1) = 0 AS is_tree FROM pp"
 
+# all that reads as text is a unit; trees are told by the marker before, parents by level within a run of appendices
+_BUILT = f"""{_SECTIONS},
+owned AS (SELECT u.doc_id, u.flow_index, (SELECT max(m.marker_id) FROM markers m WHERE m.doc_id = u.doc_id AND m.flow_index < u.flow_index) AS owner FROM units u WHERE trim(u.text) <> ''),
+runs AS (SELECT *, sum(CASE WHEN app <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY flow_index) AS run FROM (SELECT *, lag(app) OVER (PARTITION BY doc_id ORDER BY flow_index) AS prev FROM markers)),
+linked AS (SELECT a.*, (SELECT max(b.marker_id) FROM runs b WHERE b.doc_id = a.doc_id AND b.run = a.run AND b.flow_index < a.flow_index AND b.level < a.level) AS parent FROM runs a)
+"""
+
 ORACLE_SQL = {
+    "tree_from_objects": f"WITH {_BUILT} SELECT CAST(doc_id AS VARCHAR) AS doc_id, 't' || flow_index AS unit_id, 't' || owner AS marker_id, owner IS NOT NULL AND owner <> 0 AS moved FROM owned",
+    "tree_stats": f"""WITH {_BUILT}, m AS (SELECT doc_id, count(*) AS markers, count(*) FILTER (WHERE parent IS NULL) AS roots, count(*) FILTER (WHERE app) AS appendix_markers FROM linked GROUP BY doc_id),
+      u AS (SELECT doc_id, count(owner) AS paragraphs, count(*) FILTER (WHERE owner IS NULL) AS orphans, count(*) FILTER (WHERE owner <> 0) AS moved FROM owned GROUP BY doc_id)
+      SELECT CAST(coalesce(m.doc_id, u.doc_id) AS VARCHAR) AS doc_id, coalesce(markers, 0) AS markers, coalesce(roots, 0) AS roots, coalesce(appendix_markers, 0) AS appendix_markers, CAST(0 AS BIGINT) AS degraded_titles, coalesce(paragraphs, 0) AS paragraphs, coalesce(orphans, 0) AS orphans, coalesce(moved, 0) AS moved, CAST(0 AS BIGINT) AS skipped FROM m FULL JOIN u ON m.doc_id = u.doc_id""",
+    "tree_depths": f"""WITH RECURSIVE {_BUILT}, up AS (SELECT doc_id, marker_id, parent, 0 AS depth FROM linked UNION ALL SELECT u.doc_id, u.marker_id, l.parent, u.depth + 1 FROM up u JOIN linked l ON l.doc_id = u.doc_id AND l.marker_id = u.parent)
+      SELECT CAST(doc_id AS VARCHAR) AS doc_id, 't' || marker_id AS marker_id, max(depth) AS depth FROM up GROUP BY doc_id, marker_id""",
     "asof_inclusive": f"WITH {_SECTIONS} {_ASOF.format('<=')}",
     "asof_exclusive": f"WITH {_SECTIONS} {_ASOF.format('<')}",
     "preamble": f"WITH {_SECTIONS} SELECT doc_id, count(*) AS units FROM ({_ASOF.format('<')}) WHERE owner IS NULL GROUP BY doc_id",

@@ -218,6 +218,25 @@ best AS (SELECT query, neighbour, round(s, 6) AS similarity, row_number() OVER (
 """
 _HASH = "sha256(concat_ws(chr(31), {}))"
 
+# the fold, step by step: candidates of a level in order meet the level's rows so far
+_FOLD = """
+cand AS (SELECT CAST(label % 3 + 1 AS INTEGER) AS level, 'c' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS name, 'd' || lpad(CAST(label AS VARCHAR), 2, '0') AS doc, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+ranked_ AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY doc, name) AS n FROM cand),
+taus AS (SELECT unnest({taus}::DOUBLE[]) AS tau),
+walk AS (
+  SELECT tau, level, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(name VARCHAR, v DOUBLE[], support INTEGER, docs VARCHAR[])[]) AS basis FROM taus, (SELECT DISTINCT level FROM cand)
+  UNION ALL
+  SELECT tau, level, n, CASE WHEN spot IS NULL THEN list_append(basis, {{'name': name, 'v': v, 'support': CAST(1 AS INTEGER), 'docs': [doc]}})
+    ELSE list_concat(list_concat(basis[1:spot - 1], [{{'name': basis[spot].name, 'v': list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))), 'support': CAST(basis[spot].support + 1 AS INTEGER), 'docs': CASE WHEN list_contains(basis[spot].docs, doc) THEN basis[spot].docs ELSE list_append(basis[spot].docs, doc) END}}]), basis[spot + 1:]) END
+  FROM (SELECT *, list_transform(range(1, 65), lambda i: coalesce((basis[spot].v[i] * basis[spot].support + v[i]) / (basis[spot].support + 1), 1.0)) AS mean
+    FROM (SELECT w.tau, w.level, c.n, w.basis, c.name, c.doc, c.v, CASE WHEN list_max(list_transform(w.basis, lambda r: list_dot_product(r.v, c.v))) >= w.tau
+        THEN list_position(list_transform(w.basis, lambda r: list_dot_product(r.v, c.v)), list_max(list_transform(w.basis, lambda r: list_dot_product(r.v, c.v)))) END AS spot
+      FROM walk w JOIN ranked_ c ON c.level = w.level AND c.n = w.n + 1))),
+folded AS (SELECT tau, level, arg_max(basis, n) AS basis, max(n) AS seen FROM walk GROUP BY tau, level)
+"""
+_ROW_ID = "'row_' || substr(sha256(concat_ws(chr(31), CAST(level AS VARCHAR), r.name)), 1, 12)"
+_ONE = _FOLD.format(taus="[0.25]")
+
 ORACLE_SQL = {
     "project_topk": f"WITH {_CENTROIDS} SELECT vec_id, concept, round(s, 6) AS similarity, rank FROM ranked WHERE rank <= 3",
     "project_margin": f"WITH {_CENTROIDS}, {_MARGIN} SELECT * FROM margins",
@@ -264,4 +283,16 @@ ORACLE_SQL = {
       FROM (SELECT *, hits / nn AS f FROM agg) LEFT JOIN spread USING (key)""",
     "document_hits": f"""WITH {_CENTROIDS}, r AS (SELECT CAST(label % 2 AS VARCHAR) AS doc_id, vec_id, concept, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, concept) AS rank FROM sims WHERE label % 2 = concept % 2)
       SELECT doc_id, vec_id, CAST(rank AS INTEGER) AS rank, 'id' || concept AS concept_id, 'c' || concept AS name, round(s, 6) AS similarity FROM r WHERE rank <= 2""",
+    "basis_fold": f"WITH RECURSIVE {_ONE} SELECT level, {_ROW_ID} AS row_id, r.name AS label, r.support AS support, len(r.docs) AS n_documents FROM (SELECT level, unnest(basis) AS r FROM folded)",
+    "basis_stats": f"""WITH RECURSIVE {_ONE} SELECT level, count(*) AS rows, max(r.support) AS max_support, round(avg(r.support), 6) AS mean_support, count(*) FILTER (WHERE r.support = 1) AS singletons, count(*) FILTER (WHERE len(r.docs) > 1) AS shared
+      FROM (SELECT level, unnest(basis) AS r FROM folded) GROUP BY level""",
+    "basis_tau_sweep": f"""WITH RECURSIVE {_FOLD.format(taus="[0.2, 0.25, 0.3, 0.45, 0.75]")}
+      SELECT tau, level, len(basis) AS rows, seen - len(basis) AS merged, CAST(0 AS BIGINT) AS skipped, len(list_filter(basis, lambda r: len(r.docs) > 1)) AS shared FROM folded""",
+    "select_diverse": """WITH RECURSIVE c AS (SELECT label, 'c' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS name, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v, (vec_id * 37) % 101 / 101.0 AS score FROM embeddings),
+      o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, name) AS n FROM c),
+      walk AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[][]) AS vs, CAST([] AS VARCHAR[]) AS names FROM o
+        UNION ALL SELECT label, n, CASE WHEN taken THEN list_append(vs, v) ELSE vs END, CASE WHEN taken THEN list_append(names, name) ELSE names END
+        FROM (SELECT w.label, o.n, w.vs, w.names, o.v, o.name, len(w.vs) < 20 AND coalesce(list_max(list_transform(w.vs, lambda x: list_dot_product(x, o.v))), -2) <= 0.2 AS taken FROM walk w JOIN o ON o.label = w.label AND o.n = w.n + 1)),
+      last_ AS (SELECT label, arg_max(names, n) AS names FROM walk GROUP BY label)
+      SELECT label, unnest(names) AS name, generate_subscripts(names, 1) AS position FROM last_""",
 }
