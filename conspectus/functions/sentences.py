@@ -99,3 +99,25 @@ def hashing_embedder(dim: int = 256, gram: int = 4, salt: str = "conspectus/v1")
         return text.map(lambda s: hash_vector(s, dim, gram, salt).tolist())
 
     return embed
+
+
+_SUSPECT_KINDS = ("Cf", "Co", "Cs", "Zs")
+
+
+def suspects(text: str | None) -> list[str]:
+    """Code points and names of characters that sanitising folds or drops, in order of first sight."""
+    found = dict.fromkeys(c for c in text or "" if ord(c) > 127 and (ord(c) in _FOLD or unicodedata.category(c) in _SUSPECT_KINDS))
+    return [f"U+{ord(c):04X} {unicodedata.name(c, 'UNNAMED')}" for c in found]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def suspect_characters(text: pd.Series) -> pd.Series:
+    return text.map(suspects)
+
+
+def sanitised_fields(rows, *fields: str):
+    """Rows with these fields sanitised and ``warnings``: one for each field in which something was folded or dropped."""
+    found = {f: suspect_characters(F.col(f)) for f in fields}
+    told = rows.withColumns({f"__{f}": c for f, c in found.items()})
+    warnings = F.array_compact(F.array(*[F.when(F.size(f"__{f}") > 0, F.concat(F.lit(f"{f}: normalised "), F.array_join(f"__{f}", ", "))) for f in fields]))
+    return told.withColumn("warnings", warnings).withColumns({f: F.coalesce(sanitised(F.col(f)), F.lit("")) for f in fields}).drop(*[f"__{f}" for f in fields])

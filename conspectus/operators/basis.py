@@ -6,6 +6,7 @@ Candidates compete only within their level, so the ordered fold runs per level;
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ class Fold:
     def add(self, row_id: str, label: str, vector, document: str) -> str:
         v = np.asarray(vector, np.float64)
         length = float(np.linalg.norm(v))
+        self.last = (None, None)
         if not length:
             return "skipped"
         v = v / length
@@ -40,6 +42,7 @@ class Fold:
             sims = self.matrix[:n] @ v
             best = int(np.argmax(sims))
             at = best if sims[best] >= self.tau else self.where.get(row_id)
+            self.last = (None, float(sims[best if at is None else at]))
         if at is None:
             if n == len(self.matrix):
                 grown = np.zeros((max(64, 2 * n), len(v)))
@@ -47,9 +50,11 @@ class Fold:
                 self.matrix = grown
             self.matrix[n] = v
             self.where[row_id] = n
+            self.last = (row_id, self.last[1])
             self.rows.append({"row_id": row_id, "label": label, "support": 1, "documents": [document], "merged": [label]})
             return "added"
         row = self.rows[at]
+        self.last = (row["row_id"], self.last[1])
         mean = (self.matrix[at] * row["support"] + v) / (row["support"] + 1)
         size = float(np.linalg.norm(mean))
         self.matrix[at] = mean / size if size else mean
@@ -103,6 +108,29 @@ def fold(candidates: DataFrame, tau: float = TAU, order: tuple[str, ...] = ("doc
     return _streamed(candidates.withColumn("level", F.col("level").cast("int")), ["level"], order).mapInArrow(run, FOLD_SCHEMA)
 
 
+def integrations(candidates: DataFrame, tau: float = TAU, order: tuple[str, ...] = ("document", "label")) -> DataFrame:
+    """(level, label, document, span_id, decision, row_id, cosine): what the fold does with each candidate (with span_id), the
+    row it ends in, and its cosine with the nearest row, or with the row of its id, before that."""
+    keyed = candidates.withColumn("level", F.col("level").cast("int")).withColumn("document", F.to_json(F.struct(F.col("document").cast("string").alias("document"), "span_id")))
+
+    def run(batches):
+        names = ["level", "label", "document", "decision", "row_id", "cosine"]
+        now = state = None
+        for batch in batches:
+            out = []
+            for level, row_id, label, vector, document in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if level != now:
+                    now, state = level, Fold(tau)
+                decision = state.add(row_id, label, vector, json.loads(document)["document"])
+                out.append((level, label, document, decision, *state.last))
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+
+    found = _streamed(keyed, ["level"], order).mapInArrow(run, "level int, label string, document string, decision string, row_id string, cosine double")
+    part = F.from_json("document", "document string, span_id string")
+    return found.withColumn("d", part).select("level", "label", "d.document", "d.span_id", "decision", "row_id", F.round("cosine", 6).alias("cosine"))
+
+
 SINK = "row_000000000000"
 
 

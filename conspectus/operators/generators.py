@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions import latex as L
 from ..functions import text as T
-from . import candidates, tree
+from . import candidates, language, tree
 
 COLUMNS = {"doc_id": "string", "name": "string", "source": "string", "kind": "string", "frequency": "long", "section_id": "string", "tau": "string", "metadata": "map<string,string>"}
 # Types of blocks that hold prose, formulas, and defined statements.
@@ -224,42 +224,82 @@ def clean_title(raw: Column, least: int = 3) -> Column:
     return T.bound(flat, lambda f: F.when(f.rlike(UNCLEANED), "").otherwise(f))
 
 
-def bibliography(corpus, words: tuple[int, int] = (3, 30), long: int = 12, most: int = 8) -> DataFrame:
+def bibliography(corpus, words: tuple[int, int] = (3, 30), long: int = 12, most: int = 8, shorten: Callable[[Column, int], Column] | None = None) -> DataFrame:
     """Titles of reference entries; long ones are shortened, their whole title is what is embedded."""
     rows = corpus.bibliography.withColumn("full", clean_title(F.col("title"))).where(T.word_count(F.col("full")).between(*words))
-    brief = shorten_title(F.col("full"), most)
+    brief = (shorten or shorten_title)(F.col("full"), most)
     name = F.when((T.word_count(F.col("full")) > long) & (T.word_count(brief) >= 2), brief).otherwise(F.col("full"))
     rows = rows.withColumn("name", T.normalise_phrase(name)).where("name <> ''")
     facts = F.create_map(*[c for n in ("bib_id", "full", "label", "year", "citations") for c in (F.lit(n), F.col(n).cast("string"))], F.lit("keywords"), F.array_join("keywords", ","))
     return _out(_first_of_name(rows, "ord"), "bibliography", kind=F.lit("paper_title"), tau=F.col("full"), metadata=F.map_filter(facts, lambda _, v: v.isNotNull() & (v != "")))
 
 
-def _counted(corpus, pattern: str, clean: bool) -> DataFrame:
-    found = _prose(corpus).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("name"))
-    if clean:
-        found = found.withColumn("name", T.normalise_phrase(F.col("name"))).where(T.is_acceptable_phrase(F.col("name")))
-    else:
-        found = found.where(~F.lower("name").isin(T.STOPWORDS))
-    return found.groupBy("doc_id", "name").agg(F.count("*").alias("frequency"))
+def phrases(corpus, least: int = 3, most: int = 400, absorbing: bool = True, tagger: language.Tagger | None = None) -> DataFrame:
+    """Frequent phrases of a document, by a tagger or by shape, without names of persons; how many sections hold each.
 
-
-def phrases(corpus, least: int = 3, most: int = 400, absorbing: bool = True) -> DataFrame:
-    """Frequent phrases of a document, by shape: runs of title case, words before a verb or preposition, short forms.
-
-    ``most`` a document is the feature's own limit, by frequency and name.
+    ``most`` a document is the feature's own limit, by frequency and name. A phrase of one section belongs to it.
     """
-    found = _counted(corpus, PHRASE, True).unionByName(_counted(corpus, T.ACRONYM, False)).groupBy("doc_id", "name").agg(F.sum("frequency").alias("frequency")).where(F.col("frequency") >= least)
+    prose = _prose(corpus)
+    every = language.analyse(prose, PHRASE, tagger)
+    found = language.noun_phrases(every, least).withColumnsRenamed({"text": "name", "n": "frequency"})
+    if tagger is not None:
+        people = every.where("kind = 'entity' and label = 'PERSON'").select("doc_id", F.lower("text").alias("low")).distinct()
+        found = found.withColumn("low", F.lower("name")).join(people, ["doc_id", "low"], "left_anti").drop("low")
     if absorbing:
         found = candidates.absorb(found, keys=("doc_id",))
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("frequency"), "name"))).where(F.col("r") <= most)
-    return _out(ranked, "nounphrase", kind=F.lit("noun_phrase"), frequency=F.col("frequency"), tau=F.col("name"))
-
-
-def entities(corpus, least: int = 2, most: int = 200) -> DataFrame:
-    """Short forms as organisations, which is what can be told without a tagger."""
-    found = _counted(corpus, T.ACRONYM, False).where(F.col("frequency") >= least)
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("frequency"), "name"))).where(F.col("r") <= most)
-    return _out(ranked, "ner", kind=F.lit("entity_org"), frequency=F.col("frequency"), tau=F.col("name"), metadata=F.create_map(F.lit("entity_label"), F.lit("ORG")))
+    spread = language.phrase_sections(ranked.select("doc_id", F.col("name").alias("text")), prose).withColumnRenamed("text", "name")
+    ranked = ranked.join(spread, ["doc_id", "name"])
+    df, n = F.greatest(F.lit(1), F.size("sections")), F.greatest(F.lit(1), F.col("n_sections"))
+    idf = F.round(F.log1p(n / df) / F.log1p(n.cast("double")), 6)
+    only = F.when((F.size("sections") == 1) & (F.get("sections", F.lit(0)) != ""), F.get("sections", F.lit(0)))
+    facts = F.create_map(F.lit("section_df"), df.cast("string"), F.lit("idf"), idf.cast("string"), F.lit("nlp_backend"), F.lit(language.backend_name(tagger)))
+    return _out(ranked.drop("section_id").withColumn("only", only), "nounphrase", kind=F.lit("noun_phrase"), frequency=F.col("frequency"), tau=F.col("name"), section_id=F.col("only"), metadata=facts)
+
+
+def entities(corpus, least: int = 2, most: int = 200, tagger: language.Tagger | None = None, labels: tuple[str, ...] = language.LABELS) -> DataFrame:
+    """Entities of the wanted labels; without a tagger short forms, as organisations."""
+    found = language.named_entities(language.analyse(_prose(corpus), PHRASE, tagger), least, labels)
+    rank = Window.partitionBy("doc_id").orderBy(F.desc("n"), "label", "text")
+    ranked = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
+    first = ranked.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", F.lower("text")).orderBy("r"))).where("again = 1")
+    facts = F.create_map(F.lit("entity_label"), F.col("label"), F.lit("nlp_backend"), F.lit(language.backend_name(tagger)))
+    return _out(first.withColumnRenamed("text", "name"), "ner", kind=F.concat(F.lit("entity_"), F.lower("label")), frequency=F.col("n"), tau=F.col("name"), metadata=facts)
+
+
+def injected(call: Callable[[str], str], prompt: Callable[..., str], fallback: Callable[..., Column]) -> Callable[..., Column]:
+    """A column function from a model's call: its reply without quotes, or the fallback where it fails or says nothing."""
+
+    @F.pandas_udf("string")
+    def ask(question: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return " ".join(str(call(text) or "").split()).strip('"')
+            except Exception:  # a failing model costs quality only
+                return ""
+
+        return question.map(one)
+
+    def said(first: Column, *rest) -> Column:
+        reply = ask(prompt(first, *rest))
+        return F.when(reply != "", reply).otherwise(fallback(first, *rest))
+
+    return said
+
+
+def get_abstractor(name: str | None = None) -> dict[str, Callable[..., Column]]:
+    """describe and shorten by name; only the rule-based one has a name, models are injected."""
+    if name in (None, "", "null", "none", "off"):
+        return {"describe": describe_formula, "shorten": shorten_title}
+    raise ValueError(f"unknown abstractor {name!r}; inject a model's call")
+
+
+def model_abstractor(call: Callable[[str], str]) -> dict[str, Callable[..., Column]]:
+    """describe and shorten by a model, with the rules to fall back on."""
+    about = lambda latex, context: F.concat(F.lit("Name in at most six words what this formula stands for.\n\nFormula: "), latex, F.lit("\nText around it: "), F.substring(F.coalesce(context, F.lit("")), 1, 500))
+    title = lambda text, most: F.concat(F.lit(f"Name the core concept of this title in at most {most} words.\n\nTitle: "), text)
+    short = injected(call, title, shorten_title)
+    return {"describe": injected(call, about, describe_formula), "shorten": lambda text, most=8: F.when(T.word_count(text) <= most, text).otherwise(short(text, most))}
 
 
 def describe_formula(latex: Column, context: Column | None = None) -> Column:

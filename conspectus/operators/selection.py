@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 
@@ -75,5 +74,31 @@ def pca_layout(rows: DataFrame, id_col: str, vector_col: str, dim: int) -> DataF
     return v.select(id_col, out[0].alias("x"), out[1].alias("y"))
 
 
-def first_per_group(df: DataFrame, group: str, *order) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("__n = 1").drop("__n")
+BACKENDS = {"pca": pca_layout}
+
+
+def available_backends() -> tuple[str, ...]:
+    return tuple(BACKENDS)
+
+
+def register_backend(name: str, place) -> None:
+    """A further layout: a function of (rows, id column, vector column, dimension) to (id, x, y)."""
+    BACKENDS[name] = place
+
+
+def layout(rows: DataFrame, id_col: str, vector_col: str, dim: int, backend: str = "pca", **columns: str) -> DataFrame:
+    """(id, x, y, backend and ``columns``) by a backend, or by principal axes where it is not there; columns: name=source column."""
+    used = backend.strip().lower()
+    used = next((b for b in BACKENDS if b != "pca"), "pca") if used == "auto" else used if used in BACKENDS else "pca"
+    placed = BACKENDS[used](rows, id_col, vector_col, dim).withColumn("backend", F.lit(used))
+    carried = rows.select(id_col, *[F.col(c).alias(n) for n, c in columns.items()])
+    return placed.join(carried, id_col) if columns else placed
+
+
+def layout_projections(projections: DataFrame, dim: int, backend: str = "pca") -> DataFrame:
+    """Sentences placed by their coordinates (ces), with their best concept as group; those of several versions are refused."""
+    versions = [r[0] for r in projections.select("basis_version").distinct().limit(2).collect()]
+    if len(versions) > 1:
+        raise ValueError("projections of several basis versions have no common layout")
+    rows = projections.where("ces is not null").withColumn("group", F.get("hits", F.lit(0))["label"])
+    return layout(rows, "sentence_id", "ces", dim, backend, label="text", group="group").withColumn("basis_version", F.lit(versions[0] if versions else None))

@@ -92,7 +92,7 @@ def block_metrics(candidates: DataFrame, blocks: DataFrame, theta: float = scori
         parts = (hits.astype(np.int64), cover, np.clip(purity, 0, 1), np.clip(gain, 0, 1), spread)
         return pd.DataFrame(dict(zip(names, (mine["doc_id"], mine["key"], parts[0], *(np.round(x, 6) for x in parts[1:])), strict=True)))
 
-    both = candidates.select("doc_id", "key", "vector").groupBy("doc_id").cogroup(blocks.select("doc_id", "label", "vector").groupBy("doc_id"))
+    both = candidates.select(F.col("doc_id").alias("doc_id"), "key", "vector").groupBy("doc_id").cogroup(blocks.select("doc_id", "label", "vector").groupBy("doc_id"))
     return both.applyInPandas(measure, "doc_id string, key string, matches long, coverage double, purity double, information_gain double, embedding_variance double")
 
 
@@ -226,7 +226,7 @@ def best_concepts(objects: DataFrame, concepts: DataFrame, k: int, id_col: str)
         hits = [[{"rank": r + 1, "concept_id": cids[j], "name": names[j], "similarity": round(float(row[j]), 6)} for r, j in enumerate(own)] for own, row in zip(order, sims, strict=True)]
         return pd.DataFrame({"doc_id": mine["doc_id"], id_col: mine[id_col], "hits": hits})
 
-    left = objects.select("doc_id", id_col, "vector").groupBy("doc_id")
+    left = objects.select(F.col("doc_id").alias("doc_id"), id_col, "vector").groupBy("doc_id")
     return left.cogroup(concepts.select("doc_id", "position", "concept_id", "name", "vector").groupBy("doc_id")).applyInPandas(meet, schema)
 
 
