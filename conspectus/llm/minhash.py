@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_names, small_batches, written
+from .shared import forget, free_names, small_batches, written
 from .tokens import WORDS, mix, occurrence, per_text, slices, string_bytes, text_shingles, tokenise
 
 K = 80
@@ -292,7 +292,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = written(large, "large")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
+        old, edges = edges, written(small, "edges")
+        forget(old, least, large, low)
         n, total = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if (n, total) == before:
             break
@@ -332,6 +333,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # nulls rank last: a class has a null id only if all its ids are null
     named = placed.groupBy("root", "apart").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("node").alias("node"), F.col("twin").alias("twin"))).alias("first"))
     named = written(named.select(F.col("root").alias("of"), F.col("apart").alias("of_apart"), "first"), "classes")
+    forget(made, nodes, shared, sets, rest)
     met = placed.join(named, (F.col("root") == F.col("of")) & F.col("apart").eqNullSafe(F.col("of_apart")))
     kept = F.col("__id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")) & (F.col("twin") == F.col("first.twin"))
     return met.select(F.col("__id").alias(id_col), "node", "twin", F.col("first.id").alias("class_id"), kept.alias("kept"))
