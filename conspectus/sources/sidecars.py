@@ -134,3 +134,40 @@ def capability_valid(document: str | Path, fact: str = FACT, state: str | Path |
     now = read_state(state or state_path(document))
     proof = now.get("capabilities", {}).get(fact)
     return fact in now.get("facts", []) and (not proof or verify_proof(proof))
+
+
+def artefact_path(document: str | Path, output: str | Path | None = None) -> Path:
+    """Where a document's tree and summaries are kept: in a folder beside it, or where asked for."""
+    return Path(output) if output else Path(document).resolve().parent / "drill" / "model.ces.json"
+
+
+def tree_payload(tree, run, document: str | Path, doc_id: str, created_at: str = "") -> dict:
+    """One document's markers with their units, summaries, statistics and the fingerprint of its file, under a content hash."""
+    own = lambda rows, *order: [r.asDict(recursive=True) for r in rows.where(rows["doc_id"] == doc_id).drop("doc_id").orderBy(*order).collect()]  # noqa: E731  of one document
+    data = Path(document)
+    payload = {
+        "format": "conspectus-tree", "format_version": 1, "created_at": created_at,
+        "source": {"path": str(document), "bytes": data.stat().st_size if data.exists() else None, "sha256": file_hash(document)},
+        "stats": own(tree.stats(), "markers"), "markers": own(tree.markers, "flow_index", "marker_id"), "units": own(tree.units, "flow_index", "unit_id"),
+        "skipped": own(tree.skipped, "object_id"), "summaries": own(run.summaries, "span_id"), "model": run.model,
+    }
+    return payload | {"content_hash": content_hash(payload)}
+
+
+def save_artefact(payload: Mapping, document: str | Path, output: str | Path | None = None, params: Mapping | None = None, registering: bool = True) -> Path:
+    """Writes an artefact and states in the document's state file that it was built, from which bytes and with what."""
+    path = write_sidecar(payload, artefact_path(document, output))
+    if registering:
+        register(document, path, params=params, evidence={"content_hash": payload["content_hash"], "markers": len(payload["markers"])})
+    return path
+
+
+def read_artefact(document: str | Path, output: str | Path | None = None) -> dict | None:
+    """The artefact; null if there is none or it is damaged."""
+    return read_state(artefact_path(document, output)) or None
+
+
+def artefact_stale(document: str | Path, output: str | Path | None = None) -> bool | None:
+    """Whether the document has changed since; null without an artefact."""
+    found = read_artefact(document, output)
+    return None if found is None else found.get("source", {}).get("sha256") != file_hash(document)

@@ -304,6 +304,19 @@ def test_proofs_and_facts(tmp_path):
     assert sidecars.content_hash({**made, "created_at": "now"}) == made["content_hash"]
 
 
+def test_artefacts_of_trees(built, tmp_path):
+    doc = tmp_path / "blob" / "model.json"
+    doc.parent.mkdir()
+    doc.write_text("{}")
+    assert sidecars.read_artefact(doc) is None and sidecars.artefact_stale(doc) is None
+    made = sidecars.tree_payload(built, summarise.summarise_tree(built, summarise.make_summariser("title-only")), doc, "d1", "now")
+    path = sidecars.save_artefact(made, doc, params={"tau": 0.75})
+    assert sidecars.verify_sidecar(path)[0] and len(made["markers"]) == 3 and {x["unit_id"] for x in made["units"]} == {"p0", "p1", "p2", "e1"}
+    assert sidecars.capability_valid(doc) and sidecars.artefact_stale(doc) is False and sidecars.read_artefact(doc)["model"] == "title-only"
+    doc.write_text("{ }")
+    assert sidecars.artefact_stale(doc) is True and not sidecars.capability_valid(doc)
+
+
 def test_document_accessors(atlas):
     assert documents.blocks_of_type(atlas.corpus, "CODE").count() == 1
     text = {short(r.doc_id): r.text for r in documents.full_text(atlas.corpus, generators.PROSE).collect()}
