@@ -61,7 +61,7 @@ def parser() -> argparse.ArgumentParser:
 
 def _atlases(spark, args) -> dict[str, Atlas]:
     how = {"sources": tuple(args.concept_source) if args.concept_source else None, "max_concepts": args.max_concepts, "diversity": args.diversity, "min_score": args.min_score, "theta": args.theta, "weights": parse_weights(args.weight)}
-    return {m: Atlas.load(spark, args.input, embedder=get_embedder(m), **how) for m in dict.fromkeys(args.model or ["hash"])}
+    return {m: Atlas.load(spark, args.input, True, embedder=get_embedder(m), **how) for m in dict.fromkeys(args.model or ["hash"])}
 
 
 def _project(spark, args) -> int:

@@ -37,9 +37,9 @@ class Atlas:
     static_levels: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, **how) -> Atlas:
-        """From document files, generic or of typed objects."""
-        return cls(documents.load(spark, path), **how)
+    def load(cls, spark: SparkSession, path: str, looking: bool = False, **how) -> Atlas:
+        """From document files, generic or of typed objects; see ``documents.load``."""
+        return cls(documents.load(spark, path, looking), **how)
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -98,7 +98,7 @@ def _one(spark: SparkSession, path: str | Path, how: dict) -> Atlas:
     if not Path(path).exists():
         raise FileNotFoundError(f"no such file: {path}")
     model = how.pop("model", "hash")
-    return Atlas.load(spark, str(path), embedder=get_embedder(model), **how)
+    return Atlas.load(spark, str(path), True, embedder=get_embedder(model), **how)
 
 
 def _records(rows: DataFrame) -> list[dict]:

@@ -44,10 +44,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 CODE = ("code", "sourcecode", "listing", "algorithm")
 
 
-def load(spark: SparkSession, path: str) -> Corpus:
-    """Documents of both kinds at a path, each read by its own reader."""
+def load(spark: SparkSession, path: str, looking: bool = False) -> Corpus:
+    """Documents of both kinds at a path, each read by its own reader. ``looking``: looks first which kinds there are, so that
+    plans over a few documents hold one reader only."""
     files = read_files(spark, path)
     known = is_object_model(F.col("json"))
+    kinds = {r[0] for r in files.select(known).distinct().collect()} if looking else {True, False}  # two rows at most
+    if len(kinds) == 1:
+        return objects(files) if True in kinds else generic(files)
     a, b = generic(files.where(~known)), objects(files.where(known))
     both = lambda name: getattr(a, name).unionByName(getattr(b, name))
     return Corpus(*[both(n) for n in ("blocks", "sections", "bibliography", "skipped")])
