@@ -11,17 +11,18 @@ and line, stays; the others, united, extend the match both ways as far as the te
     (in a text of smaller id, or before in the same text without overlap).
 
 Lines alone miss a passage that begins or ends inside a line. So each stretch of ``MIN_WORDS`` words selects its least
-run of ``GRAM`` words likewise; a position is joined to the first text that holds its fingerprint, and the match is
-extended both ways, word by word, on the texts themselves. Hence:
+run of ``GRAM`` words likewise, and runs are joined on their hash and on that of all stretches that select them: what is
+alike in both repeats the first of its kind as a whole. Where a run also stands in other stretches, those about the first
+of each kind are compared by content (126 bits), as the windows of lines are. Hence:
 
-    a word is deleted too if it lies in a stretch of ``MIN_WORDS`` words that also stands in the first text with a
-    fingerprint of this stretch (an earlier text, or 50 words or more before in the same one).
+    a word is deleted too if and only if it lies in a stretch of ``MIN_WORDS`` words whose first occurrence in the corpus
+    is in an earlier text, or ``MIN_WORDS`` words or more before in the same one.
 
 White space between words does not count. A line that loses all its words goes, and so do the empty lines between
 two deleted words; a line that loses some keeps the rest.
 
 No pair of occurrences is formed: each position meets the first of its kind only, so a passage that very many texts
-share costs a row per occurrence. Of an earlier text a later one gets the part about their common positions.
+share costs a row per occurrence.
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line; rows of equal id and
 text are one document and keep the same lines; null ids rank last; shorter repeated runs (licences, greetings) stay;
@@ -30,6 +31,7 @@ a text whose lines all go becomes empty. Lines are equal if all their bytes are.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import forget, free_names, small_batches, written
-from .tokens import WORDS, shingles, slices, stretches, string_bytes, tokenise
+from .tokens import WORDS, mix, shingles, slices, stretches, string_bytes, tokenise
 
 MIN_WORDS = 50
 GRAM = 8
@@ -102,16 +104,18 @@ def line_marks(raw: np.ndarray, bounds: np.ndarray, min_words: int = MIN_WORDS,
 
 
 def word_marks(bounds: np.ndarray, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], min_words: int = MIN_WORDS, size: int = GRAM) -> dict[str, np.ndarray]:
-    """Selected runs of ``size`` words: text (row), at (first word), mark, and the bytes from lo to hi about them.
+    """Selected runs of ``size`` words: text (row), at (first word), mark, the first words lo to hi of the stretches of
+    ``min_words`` that select it, about: a hash of all words of these stretches, and sides: hashes (32 bits each) of the
+    run with the words before it and with those after it, as many as any stretch holds on one side at least.
 
-    The part from lo to hi holds any word that the position can vouch for: stretches of ``min_words`` that select it,
-    and as many words beyond as lie between two selected positions.
+    What stands in these stretches tells which of its runs they select, so equal ones select it at the same place.
     """
-    starts, ends, hashes = tokens
+    starts, _, hashes = tokens
     size = min(size, min_words)
     span = min_words - size + 1
     g = shingles(hashes, size)
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
+    edge = np.searchsorted(starts, bounds)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(edge))
     # least run of each stretch: hash (of equals the last) and place in one number, by powers of two
     best = ((g >> np.uint64(32)) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(len(g), dtype=np.uint64))
     width = 1
@@ -119,14 +123,22 @@ def word_marks(bounds: np.ndarray, tokens: tuple[np.ndarray, np.ndarray, np.ndar
         best = np.minimum(best[:-width], best[width:])
         width *= 2
     a = np.flatnonzero(text[min_words - 1 :] == text[: max(0, len(text) - min_words + 1)])
+    at = lo = hi = a
     if len(a):
         least = np.minimum(best[a], best[a + span - width])
-        least = least[np.r_[True, least[1:] != least[:-1]]]
-        a = np.unique((np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64))
-    own = text[a]
-    first, last = np.searchsorted(starts, bounds[own]), np.searchsorted(starts, bounds[own + 1]) - 1
-    lo, hi = starts[np.maximum(first, a - span)], ends[np.minimum(last, a + size - 1 + span)]
-    return {"text": own, "at": a - first, "mark": g[a], "lo": lo - bounds[own], "hi": hi - bounds[own]}
+        # the selected places rise with the stretches, so those of one place adjoin
+        new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        at = (np.uint64(0xFFFFFFFF) - (least[new] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+        lo, hi = a[new], a[np.r_[new[1:], len(a)] - 1]
+    first, half = edge[text[at]], _half(min_words)
+    near = np.maximum(first, at - half), np.minimum(edge[text[at] + 1], at + size + half)
+    about, left, right = np.split(stretches(hashes, np.concatenate([lo, near[0], at]), np.concatenate([hi + min_words, at + size, near[1]])), 3)
+    sides = (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
+    return {"text": text[at], "at": at - first, "mark": g[at], "lo": lo - first, "hi": hi - first, "about": about, "sides": sides}
+
+
+def _half(min_words: int) -> int:
+    return (min_words - min(GRAM, min_words)) // 2
 
 
 _PLACE = "`__id` {id}, `__node` long"
@@ -137,7 +149,7 @@ def _place(df: DataFrame) -> str:
 
 
 def fingerprints(base: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __node, words, mark, at, lo, hi): the selected lines and runs of words of (__id, __node, __text)."""
+    """(__id, __node, words, mark, at, lo, hi, about, sides): the selected lines and runs of words of (__id, __node, __text)."""
 
     def rows(batches):
         for batch in batches:
@@ -148,85 +160,112 @@ def fingerprints(base: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for words, found in ((False, line_marks(part, own, min_words, tokens)), (True, word_marks(own, tokens, min_words))):
                     row, n = pa.array(found["text"] + x), len(found["text"])
                     more = [found.get(k, np.zeros(n, np.int64)).astype(np.int32) for k in ("at", "lo", "hi")]
-                    arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.full(n, words)), pa.array(found["mark"].view(np.int64)), *map(pa.array, more)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__node", "words", "mark", "at", "lo", "hi"])
+                    hashes = [found.get(k, np.zeros(n, np.uint64)).view(np.int64) for k in ("about", "sides")]
+                    arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.full(n, words)), pa.array(found["mark"].view(np.int64)), *map(pa.array, [*more, *hashes])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__node", "words", "mark", "at", "lo", "hi", "about", "sides"])
+
+    return base.select("__id", "__node", "__text").mapInArrow(rows, f"{_place(base)}, words boolean, mark long, at int, lo int, hi int, about long, sides long")
 
-    return base.select("__id", "__node", "__text").mapInArrow(rows, f"{_place(base)}, words boolean, mark long, at int, lo int, hi int")
+
+def _first(at: str) -> Column:
+    return F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__node").alias("node"), F.col(at).alias("at"))).alias("own")
+
+
+def _later(at: str, length: Column) -> Column:
+    """Whether a place stands in another text than ``own``, or ``length`` or more after it."""
+    other = ~(F.col("__id").eqNullSafe(F.col("own.id")) & (F.col("__node") == F.col("own.node")))
+    return other | (F.col(at) - F.col("own.at") >= length)
 
 
 def repeated_marks(marks: DataFrame) -> DataFrame:
-    """Positions whose mark occurs again, with ``own``: the first of them."""
-    place = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__node").alias("node"), "at", "lo", "hi")
-    first = marks.groupBy("mark", "words").agg(F.min(place).alias("own"), F.count("*").alias("times")).where("times > 1")
+    """Positions whose mark occurs again, with ``own``: the first of them, and ``alike``: whether all have one ``about``."""
+    alike = (F.min("about") == F.max("about")).alias("alike")
+    first = marks.groupBy("mark", "words").agg(_first("at"), alike, F.count("*").alias("times")).where("times > 1")
     # written, so that the join below reads two plain exchanges and its hot keys can be split
-    first = written(first.select("mark", "words", "own"), "owners")
+    first = written(first.select("mark", "words", "own", "alike"), "owners")
     return marks.join(first.hint("shuffle_hash"), ["mark", "words"])
 
 
+def apart_marks(hits: DataFrame) -> DataFrame:
+    """Runs of words whose mark also stands in other stretches, with ``own``: the first of those with their ``about``."""
+    apart = hits.where("not alike").drop("own")
+    first = written(apart.groupBy("mark", "about").agg(_first("at")), "owners")
+    return apart.join(first.hint("shuffle_hash"), ["mark", "about"])
+
+
 def line_requests(hits: DataFrame) -> DataFrame:
     """(of, of_node, lines): the lines of each document about which its windows are wanted. hits: (__id, __node, at)."""
     return hits.groupBy(F.col("__id").alias("of"), F.col("__node").alias("of_node")).agg(F.collect_set("at").alias("lines"))
 
 
-def part_requests(hits: DataFrame) -> DataFrame:
-    """(of, of_node, to, to_node, lo, hi, least, at, own_at): for each document ``to`` and each earlier text ``of`` that holds
-    the first of some of its marks, the bytes of that text about them, the least position in it and the positions in both.
+def part_requests(apart: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(of, of_node, parts): for each document the stretches (first words lo to hi) about those of its runs of words that
+    repeat none with the same ``about``. Whether a stretch of theirs occurs under another, its content tells.
 
-    hits: (__id, __node, at, own) of runs of words.
+    A stretch holds the ``_half`` words before its run, or else those after it; where no other of these runs has the same,
+    it has no equal and is left out.
     """
-    itself = F.col("own.id").eqNullSafe(F.col("__id")) & (F.col("own.node") == F.col("__node"))
-    met = hits.where(~itself | (F.col("own.at") < F.col("at")))
-    both = F.sort_array(F.collect_set(F.struct("at", F.col("own.at").alias("own_at")))).alias("both")
-    pairs = met.groupBy(F.col("own.id").alias("of"), F.col("own.node").alias("of_node"), F.col("__id").alias("to"), F.col("__node").alias("to_node")).agg(both, F.min("own.lo").alias("lo"), F.max("own.hi").alias("hi"), F.min("own.at").alias("least"))
-    return pairs.select("of", "of_node", "to", "to_node", "lo", "hi", "least", F.col("both.at").alias("at"), F.col("both.own_at").alias("own_at"))
+    met = apart.where(~_later("at", F.lit(min_words)))
+    turn = F.col("at") - (min_words - min(GRAM, min_words) - _half(min_words))
+    before = F.struct(F.xxhash64(F.lit(0), "mark", F.shiftright("sides", 32)).alias("side"), "lo", F.least("hi", turn - 1).alias("hi"))
+    after = F.struct(F.xxhash64(F.lit(1), "mark", F.shiftleft("sides", 32)).alias("side"), F.greatest("lo", turn).alias("lo"), "hi")
+    sides = met.select("__id", "__node", F.explode(F.array(before, after)).alias("x")).select("__id", "__node", "x.*").where("lo <= hi")
+    # written, so that the join below reads two plain exchanges and its hot keys can be split
+    again = written(sides.groupBy("side").agg(F.count("*").alias("times")).where("times > 1").select("side"), "sides")
+    wanted = sides.join(again.hint("shuffle_hash"), "side")
+    return wanted.groupBy(F.col("__id").alias("of"), F.col("__node").alias("of_node")).agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
+
+
+def later_parts(hits: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(__id, __node, first, last): all words about the runs that repeat one with the same ``about``."""
+    return hits.where(_later("at", F.lit(min_words))).select("__id", "__node", F.col("lo").alias("first"), (F.col("hi") + (min_words - 1)).alias("last"))
 
 
 def answers(base: DataFrame, lines: DataFrame, parts: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Windows (__id, __node, first, last, content) and parts (__id, __node, part, least, at, own_at, itself) asked for.
+    """The windows (__id, __node, first, last, content) asked for: those of lines and those of words.
 
     The texts travel once for both.
     """
-    asked = written(lines.unionByName(parts, allowMissingColumns=True), "asked")
+    asked = lines.unionByName(parts, allowMissingColumns=True).groupBy("of", "of_node").agg(F.first("lines", True).alias("lines"), F.first("parts", True).alias("parts"))
+    asked = written(asked, "asked")
     same = base["__id"].eqNullSafe(asked["of"]) & (base["__node"] == asked["of_node"])
-    text = F.col("__text").cast("binary")
-    body = F.when(F.col("lines").isNotNull(), text).otherwise(F.substring(text, F.col("lo") + 1, F.col("hi") - F.col("lo")))
-    itself = F.col("of").eqNullSafe(F.col("to")) & (F.col("of_node") == F.col("to_node"))
-    given = F.col("lines").isNull()
-    met = base.join(asked.hint("shuffle_hash"), same).select(F.when(given, F.col("to")).otherwise(F.col("of")).alias("__id"), F.when(given, F.col("to_node")).otherwise(F.col("of_node")).alias("__node"), body.alias("body"), "lines", "least", "at", "own_at", itself.alias("itself"))
+    met = base.join(asked.hint("shuffle_hash"), same).select("__id", "__node", "__text", "lines", F.col("parts.lo").alias("lo"), F.col("parts.hi").alias("hi"))
 
     def rows(batches):
-        names = ["__id", "__node", "first", "last", "content", "part", "least", "at", "own_at", "itself"]
-        none = lambda n, kinds: [pa.nulls(n, k) for k in kinds]
         for batch in batches:
-            whole = batch.column(3).is_valid()
-            rest = batch.filter(pc.invert(whole))
-            yield pa.RecordBatch.from_arrays([*rest.columns[:2], *none(rest.num_rows, (pa.int32(), pa.int32(), pa.binary())), rest.column(2), *rest.columns[4:8]], names=names)
-            batch = batch.filter(whole)
             raw, bounds = string_bytes(batch.column(2))
-            hit, at = batch.column(3).flatten().to_numpy().astype(np.int64), np.r_[0, np.cumsum(pc.list_value_length(batch.column(3)).to_numpy())]
+            edges = [np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column(k)), 0).to_numpy())] for k in (3, 4)]
+            hit, lo, hi = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (3, 4, 5))
             for x, y in slices(bounds):
-                part = raw[bounds[x] : bounds[y]]
-                w = line_windows(part, bounds[x : y + 1] - bounds[x], min_words)
-                own = (np.repeat(np.arange(y - x), np.diff(at[x : y + 1])) << 32) | hit[at[x] : at[y]]
-                near = np.flatnonzero(np.isin((w["text"] << 32) | w["selected"], own))
+                part, own = raw[bounds[x] : bounds[y]], bounds[x : y + 1] - bounds[x]
+                tokens = tokenise(part, own, WORDS)
+                (a, b), (c, d) = ((e[x], e[y]) for e in edges)
+                w = line_windows(part, own, min_words, tokens)
+                wanted = (np.repeat(np.arange(y - x), np.diff(edges[0][x : y + 1])) << 32) | hit[a:b]
+                near = np.flatnonzero(np.isin((w["text"] << 32) | w["selected"], wanted))
                 content = [hashlib.blake2b(part[i:j].tobytes(), digest_size=16).digest() for i, j in zip(w["begin"][near].tolist(), w["end"][near].tolist(), strict=True)]
-                row, n = pa.array(w["text"][near] + x), len(near)
-                found = [batch.column(0).take(row), batch.column(1).take(row), *(pa.array(w[k][near].astype(np.int32)) for k in ("first", "last")), pa.array(content, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*found, *none(n, (pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()))], names=names)
-
-    schema = f"{_place(base)}, first int, last int, content binary, part binary, least int, at array<int>, own_at array<int>, itself boolean"
-    found = written(met.mapInArrow(rows, schema), "found")
-    return found.where("content is not null").select("__id", "__node", "first", "last", "content"), found.where("part is not null").select("__id", "__node", "part", "least", "at", "own_at", "itself")
+                # of words: the stretches from lo to hi, one after another
+                many = hi[c:d] - lo[c:d] + 1
+                text = np.repeat(np.repeat(np.arange(y - x), np.diff(edges[1][x : y + 1])), many)
+                first = np.repeat(hi[c:d] + 1 - np.cumsum(many), many) + np.arange(many.sum())
+                at = np.searchsorted(tokens[0], own)[text] + first
+                two = [stretches(h, at, at + min_words) for h in (tokens[2], mix(~tokens[2]))]
+                digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(np.stack(two, 1).tobytes())]).cast(pa.binary())
+                for words, row, begun, last, found in ((False, w["text"][near], w["first"][near], w["last"][near], pa.array(content, pa.binary())), (True, text, first, first + min_words - 1, digest)):
+                    row = pa.array(row + x)
+                    places = [pa.array(v.astype(np.int32)) for v in (begun, last)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.full(len(row), words)), *places, found], names=["__id", "__node", "words", "first", "last", "content"])
+
+    found = written(met.mapInArrow(rows, f"{_place(base)}, words boolean, first int, last int, content binary"), "found")
+    return found.where("not words").drop("words"), found.where("words").drop("words")
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
     """(__id, __node, first, last) of windows that are not the first of their content and do not overlap it."""
-    place = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__node").alias("node"), F.col("first").alias("first"))
-    owner = windows.groupBy("content").agg(F.min(place).alias("own"), F.count("*").alias("times")).where("times > 1")
+    owner = windows.groupBy("content").agg(_first("first"), F.count("*").alias("times")).where("times > 1")
     # written, so that the join below reads two plain exchanges and its hot keys can be split
-    met = windows.join(written(owner.select("content", "own"), "owners"), "content")
-    other = ~(F.col("__id").eqNullSafe(F.col("own.id")) & (F.col("__node") == F.col("own.node")))
-    return met.where(other | (F.col("first") > F.col("own.first") + F.col("last") - F.col("first"))).select("__id", "__node", "first", "last")
+    met = windows.join(written(owner.select("content", "own"), "owners").hint("shuffle_hash"), "content")
+    return met.where(_later("first", F.col("last") - F.col("first") + 1)).select("__id", "__node", "first", "last")
 
 
 def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -236,33 +275,6 @@ def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.cumsum(cover)[:n] > 0
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n, done, step = min(len(a), len(b)), 0, 64
-    while done < n:
-        differ = np.flatnonzero(a[done : min(n, done + step)] != b[done : min(n, done + step)])
-        if len(differ):
-            return done + int(differ[0])
-        done, step = done + step, step * 2
-    return n
-
-
-def common_words(mine: np.ndarray, other: np.ndarray, at: np.ndarray, other_at: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
-    """Whether each word (hash) of ``mine`` lies in a stretch of ``min_words`` that ``other`` has too, about the positions.
-
-    Each pair of positions is extended both ways; positions inside a stretch found before are not extended again.
-    """
-    gone = np.zeros(len(mine), bool)
-    for i, j in zip(at.tolist(), other_at.tolist(), strict=True):
-        if gone[i]:
-            continue
-        right = _agree(mine[i:], other[j:])
-        left = _agree(mine[:i][::-1], other[:j][::-1])
-        if left + right >= min_words:
-            gone[i - left : i + right] = True
-    return gone
-
-
 def without(text: str, cut: np.ndarray, tokens: tuple[np.ndarray, np.ndarray] | None = None, gone: np.ndarray | None = None) -> tuple[str, int]:
     """``text`` without the lines of ``cut`` and the ``gone`` of its words (starts, ends); the number of lines that went."""
     lines = text.split("\n")
@@ -288,23 +300,14 @@ def without(text: str, cut: np.ndarray, tokens: tuple[np.ndarray, np.ndarray] |
     return "\n".join(x for x, c in zip(lines, cut.tolist(), strict=True) if not c), int(cut.sum())
 
 
-def freed(text: str, first: np.ndarray, last: np.ndarray, parts: list[tuple], min_words: int = MIN_WORDS) -> tuple[str, int]:
-    """``text`` freed of the runs of lines and of what ``parts`` (part, least, at, own_at, itself) of earlier texts repeat."""
-    cut = _covered(text.count("\n") + 1, first, last)
-    if not parts or cut.all():
+def freed(text: str, lines: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> tuple[str, int]:
+    """``text`` freed of the runs (first, last) of its lines and of its words."""
+    cut = _covered(text.count("\n") + 1, *lines)
+    if not len(words[0]) or cut.all():
         return without(text, cut)
     raw = np.frombuffer(text.encode(), np.uint8)
-    starts, ends, words = tokenise(raw, np.array([0, len(raw)]), WORDS)
-    gone = np.zeros(len(words), bool)
-    span = min_words - min(GRAM, min_words) + 1
-    # the parts' words, all at once
-    bounds = np.cumsum([0, *(len(p[0]) for p in parts)])
-    begun, _, others = tokenise(np.concatenate([p[0] for p in parts]), bounds, WORDS)
-    edge = np.searchsorted(begun, bounds)
-    for n, (_, least, at, own_at, itself) in enumerate(parts):
-        far = at - own_at >= min_words if itself else np.ones(len(at), bool)  # not overlapping
-        gone |= common_words(words, others[edge[n] : edge[n + 1]], at[far], own_at[far] - max(0, least - span), min_words)
-    return without(text, cut, (starts, ends), gone)
+    starts, ends, _ = tokenise(raw, np.array([0, len(raw)]), WORDS)
+    return without(text, cut, (starts, ends), _covered(len(starts), *words))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -316,18 +319,18 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     marks = written(fingerprints(base, min_words), "marks")
     hits = written(repeated_marks(marks), "hits")
     forget(marks)
+    apart = written(apart_marks(hits), "apart")
     # equal windows of rows of equal id and text are one
-    windows, found = answers(base, line_requests(hits.where("not words").select("__id", "__node", "at")), part_requests(hits.where("words")), min_words)
-    lines = later_windows(windows).groupBy("__id", "__node").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    found = found.groupBy("__id", "__node").agg(F.collect_set(F.struct("part", "least", "at", "own_at", "itself")).alias("parts"))
-    no_runs, no_parts = (F.array().cast(x.schema[c].dataType).alias(c) for x, c in ((lines, "runs"), (found, "parts")))
-    both = written(lines.select("__id", "__node", "runs", no_parts).unionByName(found.select("__id", "__node", no_runs, "parts")), "gone")
-    forget(hits)
-    gone = both.groupBy(F.col("__id").alias(own), F.col("__node").alias(own_node)).agg(F.flatten(F.collect_list("runs")).alias(runs), F.flatten(F.collect_list("parts")).alias(parts))
+    windows, stretched = answers(base, line_requests(hits.where("not words").select("__id", "__node", "at")), part_requests(apart, min_words), min_words)
+    found = [(runs, later_windows(windows)), (parts, later_windows(stretched)), (parts, later_parts(hits.where("words and alike"), min_words)), (parts, later_parts(apart, min_words))]
+    ranges = [x.select(F.col("__id").alias(own), F.col("__node").alias(own_node), F.struct("first", "last").alias(c)) for c, x in found]
+    gone = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranges)
+    gone = written(gone.groupBy(own, own_node).agg(F.collect_set(runs).alias(runs), F.collect_set(parts).alias(parts)), "gone")
+    forget(hits, apart)
     wide = df.withColumn(node, number)
     same = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(node) == F.col(own_node))
     joined = wide.join(gone.hint("shuffle_hash"), same, "left")
-    joined = joined.select(*df.columns, F.col(f"{runs}.first").alias(f"{runs}_first"), F.col(f"{runs}.last").alias(f"{runs}_last"), parts)
+    joined = joined.select(*df.columns, *(F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in (runs, parts) for k in ("first", "last")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{n_lines}` long, `{n_removed}` long"
     columns = list(df.columns)
     at = columns.index(text_col)
@@ -335,21 +338,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     def rows(batches):
         for batch in batches:
-            column, (first, last, more) = batch.column(at), (batch.column(wide_n + k) for k in range(3))
+            column, ranges = batch.column(at), [batch.column(wide_n + k) for k in range(4)]
             raw, bounds = string_bytes(column)
             newlines = np.flatnonzero(raw == 10)
             total = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(np.searchsorted(newlines, bounds)) + 1, 0)
-            hit = pc.and_(first.is_valid(), column.is_valid())
+            hit = pc.and_(ranges[0].is_valid(), column.is_valid())
             out, removed = [], np.zeros(batch.num_rows, np.int64)
-            runs_at, parts_at = (np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy())] for x in (first, more))
-            begun, ended = first.flatten().to_numpy(), last.flatten().to_numpy()
-            given = dict(zip(("part", "least", "at", "own_at", "itself"), more.flatten().flatten(), strict=True))
-            bytes_, bytes_at = string_bytes(given["part"])
-            places = {k: (given[k].flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(given[k]).to_numpy())]) for k in ("at", "own_at")}
-            least, itself = given["least"].to_pylist(), given["itself"].to_pylist()
+            given = [(x.flatten().to_numpy(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy())]) for x in ranges]
             for i in np.flatnonzero(hit.to_numpy(zero_copy_only=False)).tolist():
-                earlier = [(bytes_[bytes_at[j] : bytes_at[j + 1]], least[j], *(v[e[j] : e[j + 1]] for v, e in places.values()), itself[j]) for j in range(parts_at[i], parts_at[i + 1])]
-                text, removed[i] = freed(column[i].as_py(), begun[runs_at[i] : runs_at[i + 1]], ended[runs_at[i] : runs_at[i + 1]], earlier, min_words)
+                mine = [v[e[i] : e[i + 1]] for v, e in given]
+                text, removed[i] = freed(column[i].as_py(), mine[:2], mine[2:])
                 out.append(text)
             arrays = [pc.replace_with_mask(column, hit, pa.array(out, column.type)) if i == at else batch.column(i) for i in range(wide_n)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(total.astype(np.int64)), pa.array(removed)], names=[*columns, n_lines, n_removed])

@@ -136,6 +136,23 @@ def test_word_passages_equal_brute_force(spark):
     assert got == brute_words(rows, 50)
 
 
+def test_passages_go_whatever_the_first_text_with_their_fingerprint(spark):
+    rng = random.Random(77)
+    rows = []
+    for _ in range(12):
+        p = line(rng, 60).split()
+        # three earlier texts hold every fingerprint of the passage, but under 50 words of it; then two hold it whole
+        rows += [" ".join([line(rng, 30), *part, line(rng, 30)]) for part in (p[:45], p[15:], p[8:53])]
+        rows += [" ".join([line(rng, 20), *p, line(rng, 20)]), " ".join([line(rng, 20), *p[:55], line(rng, 20), *p[3:]])]
+    # few words: runs occur often, in one text and in several, also overlapping
+    pool = [" ".join(rng.choice("ab") for _ in range(rng.randrange(8, 40))) for _ in range(6)]
+    rows += [" ".join(rng.choice(pool) for _ in range(rng.randrange(3, 30))) for _ in range(30)]
+    rows += [" ".join(["x"] * n) for n in (49, 50, 99, 100, 101, 230)] + [" ".join(["x y z"] * n) for n in (16, 17, 40, 60)]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.text.split() for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_words(rows, 50)
+
+
 def test_line_dedup_of_a_very_long_text(spark):
     rng = random.Random(31)
     text = "\n".join(line(rng, 15) for _ in range(12000))
