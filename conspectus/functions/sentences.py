@@ -37,7 +37,7 @@ def sentences(text: Column, min_chars: int = 2) -> Column:
     pattern = boundary()
     parts = lambda block: F.split(F.trim(F.regexp_replace(block, r"(?U)\s+", " ")), pattern, -1)
     every = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n", -1), parts))
-    return F.filter(F.transform(every, F.trim), lambda s: F.char_length(s) >= max(1, min_chars))
+    return F.filter(F.transform(every, lambda s: F.trim(s)), lambda s: F.char_length(s) >= max(1, min_chars))
 
 
 # Characters that look like plain ones, after compatibility folding.

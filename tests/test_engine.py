@@ -163,6 +163,13 @@ def test_sentences(spark):
         assert got[i] == want
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    """A sentence's place among the others is no set of characters to trim."""
+    texts = ["Go on. 148.9 is it. 2381604611877803 is a card. 37", "Zero. One. Two. Three. 44 of 44", "0 of 0"]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", sentences.sentences(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [["Go on.", "148.9 is it.", "2381604611877803 is a card.", "37"], ["Zero.", "One.", "Two.", "Three.", "44 of 44"], ["0 of 0"]]
+
+
 def test_sanitising():
     assert sentences.sanitise("a‑b c​d “é” τ") == 'a-b cd "é" τ'
 
