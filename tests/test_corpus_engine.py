@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conspectus import cli, facade
 from conspectus.functions import embedders, routing
 from conspectus.operators import basis, generators, markers, query_engine, scoring, sentence_rows, space, summaries, summarise
+from conspectus.plans import texts
 from conspectus.sources import documents, sidecars
 
 OBJECTS = [
@@ -87,6 +88,13 @@ def test_sentences_from_trees(built):
     assert (s.sentences, s.sources, s.spans, s.orphaned) == (4, 3, 2, 1)
 
 
+def test_sentence_stats_count_sentences_at_the_least_length(spark, tmp_path):
+    """The second sentence has 20 characters with its first digit."""
+    spark.createDataFrame([(1, "A sentence that is long enough. 1 is a shorter claim")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = texts.sentence_stats(spark, str(tmp_path)).collect()
+    assert (r.sentences, r.words_min, r.words_max) == (2, 5, 6)
+
+
 def test_summaries(spark, built, tmp_path):
     run = summarise.summarise_tree(built, summarise.make_summariser("extractive"))
     rows = {(r.doc_id, r.span_id): r for r in run.summaries.collect()}
