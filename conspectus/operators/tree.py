@@ -42,21 +42,21 @@ def extents(markers: DataFrame, doc: str = "doc_id", flow: str = "flow_index", m
     return markers.withColumn("until", F.lead(flow).over(Window.partitionBy(doc).orderBy(flow, marker)))
 
 
-def closure(spark: SparkSession, edges: DataFrame, depth: int = 100) -> DataFrame:
-    """(ancestor, node, depth) of edges (parent, child), each node its own ancestor at 0; cycles end at their start."""
-    reach = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(ancestor, node, depth, path) MAX RECURSION LEVEL {depth} AS (
-          SELECT node, node, 0, array(node) FROM {{nodes}}
-          UNION ALL
-          SELECT w.ancestor, e.child, w.depth + 1, array_append(w.path, e.child)
-          FROM walk w JOIN {{edges}} e ON e.parent = w.node WHERE NOT array_contains(w.path, e.child))
-        SELECT ancestor, node, min(depth) AS depth FROM walk GROUP BY ancestor, node
-        """,
-        nodes=reach,
-        edges=edges,
-    )
+def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(ancestor, node, depth) of edges (parent, child), each node its own ancestor at 0; cycles end at their start.
+
+    Breadth first, a join a level, so that depth is the least one and no number of rows or levels is a limit; each level
+    and the edges are kept on the executors (memory and disk) and go with the session's garbage.
+    """
+    known = edges.select("parent", "child").distinct().localCheckpoint()
+    nodes = known.select(F.col("parent").alias("node")).union(known.select("child")).distinct()
+    reached = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    last, depth = known.where("parent <> child").select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("depth")), 1
+    while not last.isEmpty():
+        reached, depth = reached.union(last), depth + 1
+        further = last.join(known, last["node"] == known["parent"]).select("ancestor", F.col("child").alias("node")).where("ancestor <> node").distinct()
+        last = further.join(reached.where("depth > 0").select("ancestor", "node"), ["ancestor", "node"], "left_anti").withColumn("depth", F.lit(depth)).localCheckpoint()
+    return reached
 
 
 def section_paths(closed: DataFrame, titles: DataFrame, separator: str = " > ") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conspectus.functions import ids, sentences, structural, text
 from conspectus.operators import basis, candidates, graph, projection, scoring, selection, summaries, tree
+from conspectus.plans import trees
 from conspectus.sources import documents, stores
 
 
@@ -36,6 +37,43 @@ def test_closure_survives_a_cycle(spark):
     assert got[("a", "c")] == 2 and got[("b", "b")] == 0 and got[("c", "b")] == 1
 
 
+@pytest.fixture
+def few_recursive_rows(spark):
+    """A row limit for recursion as the big tables meet it."""
+    key = "spark.sql.cteRecursionRowLimit"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    yield
+    spark.conf.set(key, old)
+
+
+def test_closure_has_no_limit_of_rows_or_levels(spark, few_recursive_rows):
+    chain = [(i, i + 1) for i in range(12)] + [(0, 2), (3, 3), (12, None)]
+    leaves = [(5, 100 + i) for i in range(50)]
+    got = {(r.ancestor, r.node): r.depth for r in tree.closure(spark, spark.createDataFrame(chain + leaves + leaves[:9], "parent int, child int")).collect()}
+    own = lambda a, n: n - a - (a == 0 and n >= 2)
+    want = {(a, n): own(a, n) for a in range(13) for n in range(a, 13)} | {(None, None): 0}
+    want |= {(100 + i, 100 + i): 0 for i in range(50)} | {(a, 100 + i): own(a, 5) + 1 for a in range(6) for i in range(50)}
+    assert got == want
+
+
+def _family(spark, folder, n):
+    """Tables of one region, two nations and n customers."""
+    rows = {
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "N", 0), (1, "M", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(i, f"C{i}", i % 2, float(i)) for i in range(n)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double"),
+    }
+    for name, (made, schema) in rows.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_descendants_of_more_rows_than_recursion_takes(spark, few_recursive_rows, tmp_path):
+    got = {tuple(r) for r in trees.descendants(spark, _family(spark, tmp_path, 60)).collect()}
+    assert got == {("r0", 62, 2), ("n0", 30, 1), ("n1", 30, 1)}
+
+
 def test_coverage_curve(spark):
     got = [one(spark, text.coverage_curve(F.lit(f))) for f in (0.0, 0.01, 0.1, 0.3, 0.65, 0.9, 1.0)]
     assert got == pytest.approx([0.1, 0.1, 0.526316, 1, 0.65, 0.3, 0.3], abs=1e-6)
