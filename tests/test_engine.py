@@ -74,6 +74,11 @@ def test_descendants_of_more_rows_than_recursion_takes(spark, few_recursive_rows
     assert got == {("r0", 62, 2), ("n0", 30, 1), ("n1", 30, 1)}
 
 
+def test_section_paths_of_more_rows_than_recursion_takes(spark, few_recursive_rows, tmp_path):
+    got = {r.node: r.path for r in trees.section_paths(spark, _family(spark, tmp_path, 60)).collect()}
+    assert len(got) == 63 and got["r0"] == "R" and got["n1"] == "R > M" and got["c7"] == "R > M > C7"
+
+
 def test_coverage_curve(spark):
     got = [one(spark, text.coverage_curve(F.lit(f))) for f in (0.0, 0.01, 0.1, 0.3, 0.65, 0.9, 1.0)]
     assert got == pytest.approx([0.1, 0.1, 0.526316, 1, 0.65, 0.3, 0.3], abs=1e-6)
