@@ -84,6 +84,10 @@ def test_subtree_balance_of_more_rows_than_recursion_takes(spark, few_recursive_
     assert got == {("r0", 60, 1770.0), ("n0", 30, 870.0), ("n1", 30, 900.0)}
 
 
+def test_top_level_of_more_rows_than_recursion_takes(spark, few_recursive_rows, tmp_path):
+    assert [tuple(r) for r in trees.top_level(spark, _family(spark, tmp_path, 60)).collect()] == [("r0", 63)]
+
+
 def test_coverage_curve(spark):
     got = [one(spark, text.coverage_curve(F.lit(f))) for f in (0.0, 0.01, 0.1, 0.3, 0.65, 0.9, 1.0)]
     assert got == pytest.approx([0.1, 0.1, 0.526316, 1, 0.65, 0.3, 0.3], abs=1e-6)
