@@ -103,8 +103,9 @@ def sibling_scores(spark, sf):
 
 
 def children_ranked(spark, sf):
+    """Every child of every parent by score."""
     order = Window.partitionBy("parent").orderBy(F.desc("sibscore"), "child")
-    return graph.sibling_scores(_supply(spark, sf)).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("parent", "rank", "child")
+    return graph.sibling_scores(_supply(spark, sf)).select("parent", F.row_number().over(order).alias("rank"), "child")
 
 
 def graph_shape(spark, sf):
@@ -194,7 +195,7 @@ ORACLE_SQL = {
     "top_level": f"WITH RECURSIVE {_TREE} SELECT top, count(*) AS nodes FROM (SELECT node, arg_max(ancestor, depth) AS top FROM walk GROUP BY node) GROUP BY top",
     "subtree_balance": f"WITH RECURSIVE {_TREE} SELECT ancestor, count(*) AS leaves, round(CAST(sum(CAST(c_acctbal AS DECIMAL(20, 2))) AS DOUBLE), 2) AS balance FROM walk JOIN customer ON node = 'c' || c_custkey GROUP BY ancestor HAVING count(*) > 1",
     "sibling_scores": f"WITH {_SIBLING} SELECT * FROM scores",
-    "children_ranked": f"WITH {_SIBLING} SELECT parent, rank, child FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY sibscore DESC, child) AS rank FROM scores) WHERE rank <= 3",
+    "children_ranked": f"WITH {_SIBLING} SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY sibscore DESC, child) AS rank, child FROM scores",
     "graph_shape": f"WITH {_SUPPLY}, g AS (SELECT 's' || parent AS parent, 'p' || child AS child FROM e), {_SHAPE.format('g')}",
     "tree_shape": f"WITH edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), {_SHAPE.format('edges')}",
 }

@@ -197,6 +197,13 @@ def test_sibling_scores_round_as_sql_does(spark):
     assert got[(0, 0)] == 0.504687
 
 
+def test_children_ranked_ranks_all_children(spark, tmp_path):
+    edges = [(0, c) for c in range(6)] + [(1, 4), (1, 5), (2, 5)]
+    spark.createDataFrame(edges + edges, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [tuple(r) for r in trees.children_ranked(spark, str(tmp_path)).orderBy("parent", "rank").collect()]
+    assert got == [(0, i + 1, c) for i, c in enumerate((0, 1, 2, 3, 4, 5))] + [(1, 1, 4), (1, 2, 5), (2, 1, 5)]
+
+
 def test_refinement_adds_half_of_the_children_and_stops(spark):
     edges = spark.createDataFrame([("a", "a1", 0), ("a", "a2", 1), ("a", "a3", 2), ("b", "b1", 0)], "parent string, child string, ord int")
     vectors = spark.createDataFrame([(c, [x, 0.0]) for c, x in (("a", 1.0), ("a1", 0.5), ("a2", 0.4), ("a3", 0.9), ("b", 1.0), ("b1", 2.0))], "concept string, vector array<double>")
