@@ -197,6 +197,11 @@ def test_sibling_scores_round_as_sql_does(spark):
     assert got[(0, 0)] == 0.504687
 
 
+def test_children_ranked_joins_no_pairs_of_parents(spark, tmp_path):
+    spark.createDataFrame([(1, 2)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert "Join" not in trees.children_ranked(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_children_ranked_ranks_all_children(spark, tmp_path):
     edges = [(0, c) for c in range(6)] + [(1, 4), (1, 5), (2, 5)]
     spark.createDataFrame(edges + edges, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
