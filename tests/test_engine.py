@@ -278,6 +278,29 @@ def test_sanitising():
     assert sentences.sanitise("a‑b c​d “é” τ") == 'a-b cd "é" τ'
 
 
+def _plain_sanitise(value):
+    """Character by character."""
+    import re
+    import unicodedata
+
+    folded = unicodedata.normalize("NFKC", value).translate(sentences._FOLD)
+    kinds = ((c, unicodedata.category(c)) for c in folded)
+    out = "".join(" " if kind == "Zs" else c for c, kind in kinds if kind not in ("Cf", "Co", "Cs"))
+    out = re.sub(r"[ \t]+", " ", re.sub(r"[\x00-\x08\x0b-\x1f\x7f]", " ", out))
+    return re.sub(r"\n{3,}", "\n\n", out).strip()
+
+
+def test_sanitising_looks_at_a_character_once(monkeypatch):
+    every = "".join(map(chr, range(0x3100))) + "\ue000\udc00\U0001d400 \t  \t\n\n\n\n x"
+    for value in (every, every[::-1], every[:128], "a\t\tb \t c\n\n\n d", "\t", ""):
+        assert sentences.sanitise(value) == _plain_sanitise(value)
+    asked = []
+    monkeypatch.setattr(sentences.unicodedata, "category", lambda c: asked.append(c) or "Ll")
+    assert sentences.sanitise("plain text " * 99) == ("plain text " * 99).strip() and not asked
+    sentences.sanitise("\u1e9f" * 99)
+    assert len(asked) <= 1
+
+
 def test_hash_vectors_are_units():
     v = sentences.hash_vector("graph index graph")
     assert np.isclose(v @ v, 1) and not sentences.hash_vector(" ").any()
