@@ -306,6 +306,30 @@ def test_hash_vectors_are_units():
     assert np.isclose(v @ v, 1) and not sentences.hash_vector(" ").any()
 
 
+def test_hash_vectors_make_a_hash_once(monkeypatch):
+    """Feature by feature, to the last bit; a second text makes no hash anew."""
+    import hashlib
+    import math
+    from collections import Counter
+
+    def plain(low, dim, gram, salt):
+        words, flat, out = sentences._TOKEN.findall(low), " ".join(low.split()), np.zeros(dim)
+        counts = Counter(f"w:{w}" for w in words)
+        counts.update(f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False))
+        counts.update(f"c:{flat[i : i + gram]}" for i in range(len(flat) - gram + 1))
+        for feature, n in counts.items():
+            h = int.from_bytes(hashlib.blake2b(f"{salt}\x1f{feature}".encode(), digest_size=8).digest(), "big")
+            out[h % dim] += (1.0 if h >> 63 else -1.0) * (1.0 + math.log(n))
+        return out / math.sqrt(float(out @ out))
+
+    value = "the graph of a graph, 12 {0} trees in the graph tree_a b tree a_b ümlaut\\alpha " * 9 + "end"
+    for dim, gram, salt in ((64, 4, "s"), (7, 3, "t"), (1, 2, "s")):
+        assert sentences.hash_vector(value, dim, gram, salt).tolist() == plain(value, dim, gram, salt).tolist()
+    assert sentences.hash_vector("ab", 8).any() and not sentences.hash_vector(None, 8).any() and not sentences.hash_vector("?", 8).any()
+    monkeypatch.setattr(sentences, "hashlib", None)
+    assert sentences.hash_vector(value, 64, 4, "s").any()
+
+
 def test_headings_and_phrases(spark):
     strip = lambda s: one(spark, text.strip_numbering(F.lit(s)))
     assert [strip("3.2 Method"), strip("IV. Results"), strip("A framework")] == ["Method", "Results", "framework"]
