@@ -26,8 +26,9 @@ def absorb(phrases: DataFrame, name: str = "name", count: str = "frequency", key
 
     Phrases meet within ``keys``. Each meets its own inner word runs only, found by equality, so the join grows with
     phrase length and not with the square of the phrases. Whatever a dropped phrase would absorb, its absorber
-    absorbs too.
+    absorbs too. Phrases, which are read three times, are made once and kept on the executors (memory and disk).
     """
+    phrases = phrases.localCheckpoint()
     words = F.split(F.lower(name), " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
     inner = phrases.withColumn("w", words).where(F.size("w") > 1).select(*keys, F.col(name).alias("long"), F.col(count).alias("own"), F.explode(F.array_distinct(runs)).alias("run"))

@@ -330,6 +330,19 @@ def test_hash_vectors_make_a_hash_once(monkeypatch):
     assert sentences.hash_vector(value, 64, 4, "s").any()
 
 
+def test_absorbing_makes_phrases_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    phrases = spark.createDataFrame([("a b", 2), ("a", 3), ("b c", 4), ("c", 1)], "name string, frequency long").mapInArrow(seen, "name string, frequency long")
+    assert {r.name for r in candidates.absorb(phrases).collect()} == {"a", "b c", "c"}
+    assert made.value == 4
+
+
 def test_headings_and_phrases(spark):
     strip = lambda s: one(spark, text.strip_numbering(F.lit(s)))
     assert [strip("3.2 Method"), strip("IV. Results"), strip("A framework")] == ["Method", "Results", "framework"]
